@@ -140,9 +140,8 @@ def profile_types(df: DataFrame, columns: Seq[str] | None = None) -> DataFrame:
     raw = F.replace(F.trim("value"), F.lit("+"), F.lit(""))
     low = F.lower(raw)
     blank = (raw == "") | low.isin("none", "null", "nan", "inf", "true", "false")
-    whole = ~raw.contains(".") & raw.try_cast("decimal(38,0)").isNotNull() & raw.rlike(r"^-?\d+$")
-    in_range = raw.try_cast("bigint").between(-2147483648, 2147483647)
-    is_int = ~blank & whole & F.coalesce(in_range, F.lit(False))
+    whole = raw.rlike(r"^-?\d+$")
+    is_int = ~blank & whole & raw.try_cast("int").isNotNull()
     is_double = ~blank & ~whole & raw.try_cast("double").isNotNull()
     other = ~is_int & ~is_double & (F.trim("value") != "")
     boolean = low.isin("true", "false")
