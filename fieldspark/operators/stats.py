@@ -137,21 +137,25 @@ def profile_types(df: DataFrame, columns: Seq[str] | None = None) -> DataFrame:
     """
     names = list(columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])
     long = df.select(*names).unpivot([], names, "field", "value")
-    raw = F.replace(F.trim("value"), F.lit("+"), F.lit(""))
-    low = F.lower(raw)
-    blank = (raw == "") | low.isin("none", "null", "nan", "inf", "true", "false")
+    long = long.withColumn("raw", F.replace(F.trim("value"), F.lit("+"), F.lit("")))
+    raw, low = F.col("raw"), F.lower("raw")
+    filled = F.coalesce(F.trim("value") != "", F.lit(False))
+    word = low.rlike("^(none|null|nan|inf|true|false)?$")
     whole = raw.rlike(r"^-?\d+$")
-    is_int = ~blank & whole & raw.try_cast("int").isNotNull()
-    is_double = ~blank & ~whole & raw.try_cast("double").isNotNull()
-    other = ~is_int & ~is_double & (F.trim("value") != "")
-    boolean = low.isin("true", "false")
-    filled = F.col("value").isNotNull() & (F.trim("value") != "")
-    agg = long.groupBy("field").agg(
-        F.count_if(is_int).alias("_i"),
-        F.count_if(is_double).alias("_d"),
-        F.count_if(other).alias("_o"),
-        F.count_if(filled & boolean).alias("_b"),
-        F.count_if(filled).alias("_f"),
+    flags = long.select(
+        "field",
+        filled.alias("filled"),
+        (~word & whole & raw.try_cast("int").isNotNull()).alias("is_int"),
+        (~word & ~whole & raw.try_cast("double").isNotNull()).alias("is_double"),
+        low.rlike("^(true|false)$").alias("is_bool"),
+    )
+    f = F.col("filled")
+    agg = flags.groupBy("field").agg(
+        F.count_if(f & F.col("is_int")).alias("_i"),
+        F.count_if(f & F.col("is_double")).alias("_d"),
+        F.count_if(f & ~F.col("is_int") & ~F.col("is_double")).alias("_o"),
+        F.count_if(f & F.col("is_bool")).alias("_b"),
+        F.count_if(f).alias("_f"),
     )
     kind = (
         F.when(F.col("_d") > 0, "double")
