@@ -387,7 +387,7 @@ def map_center(spark, sf):
 
 
 CENTER_SQL = """SELECT round(avg(c_acctbal/200),6) AS lat, round(avg(c_acctbal/100),6) AS lon FROM customer
-WHERE c_custkey % 7 <> 0 AND NOT (abs(c_acctbal/200) < 1e-9 AND abs(c_acctbal/100) < 1e-9)"""
+WHERE c_custkey % 7 <> 0 AND NOT (abs(c_acctbal/200) < 1e-6 AND abs(c_acctbal/100) < 1e-6)"""
 
 
 def scalar_text(spark, sf):
