@@ -140,13 +140,17 @@ def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) ->
 
 def _segments(line: Column, measure: Callable[[Column, Column], Column]) -> Column:
     """Sum of ``measure`` over consecutive vertices."""
-    n = F.size(line)
-    steps = F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(
-        steps,
-        F.lit(0.0),
-        lambda acc, i: acc + measure(F.element_at(line, i - 1), F.element_at(line, i)),
-    )
+
+    def total(v: Column) -> Column:
+        n = F.size(v)
+        steps = F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(
+            steps,
+            F.lit(0.0),
+            lambda acc, i: acc + measure(F.element_at(v, i - 1), F.element_at(v, i)),
+        )
+
+    return bind(line, total)
 
 
 def line_length(line: Column, ellipsoidal: bool = False) -> Column:
@@ -191,21 +195,23 @@ def polygon_area(rings: Column, ellipsoidal: bool = False) -> Column:
 
 def ring_centroid(ring: Column) -> Column:
     """Area centroid of a simple ring; the vertex mean where the area is 0."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    n = F.size(closed)
-    sums = F.aggregate(
-        F.sequence(F.lit(2), n),
-        F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
-        lambda acc, i: bind(
-            F.struct(F.element_at(closed, i - 1).alias("p"), F.element_at(closed, i).alias("q")),
-            lambda s: bind(
-                s.p.x * s.q.y - s.q.x * s.p.y,
-                lambda k: F.struct(
-                    (acc.a + k).alias("a"),
-                    (acc.x + (s.p.x + s.q.x) * k).alias("x"),
-                    (acc.y + (s.p.y + s.q.y) * k).alias("y"),
-                ),
+
+    def add(v: Column, acc: Column, i: Column) -> Column:
+        p, q = F.element_at(v, i - 1), F.element_at(v, i)
+        return bind(
+            p.x * q.y - q.x * p.y,
+            lambda k: F.struct(
+                (acc.a + k).alias("a"),
+                (acc.x + (p.x + q.x) * k).alias("x"),
+                (acc.y + (p.y + q.y) * k).alias("y"),
             ),
+        )
+
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    sums = bind(
+        F.concat(ring, F.slice(ring, 1, 1)),
+        lambda v: F.aggregate(
+            F.sequence(F.lit(2), F.size(v)), zero, lambda acc, i: add(v, acc, i)
         ),
     )
     count = F.size(ring)
@@ -221,17 +227,19 @@ def ring_centroid(ring: Column) -> Column:
 
 def in_ring(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd test of a point against a ring."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    n = F.size(closed)
 
-    def crosses(i: Column) -> Column:
-        p, q = F.element_at(closed, i - 1), F.element_at(closed, i)
-        return ((p.y > py) != (q.y > py)) & (px < (q.x - p.x) * (py - p.y) / (q.y - p.y) + p.x)
+    def odd(v: Column) -> Column:
+        def crosses(i: Column) -> Column:
+            p, q = F.element_at(v.ring, i - 1), F.element_at(v.ring, i)
+            return ((p.y > v.y) != (q.y > v.y)) & (
+                v.x < (q.x - p.x) * (v.y - p.y) / (q.y - p.y) + p.x
+            )
 
-    hits = F.aggregate(
-        F.sequence(F.lit(2), n), F.lit(0), lambda acc, i: acc + F.when(crosses(i), 1).otherwise(0)
-    )
-    return hits % 2 == 1
+        hits = F.filter(F.sequence(F.lit(2), F.size(v.ring)), crosses)
+        return F.size(hits) % 2 == 1
+
+    closed = F.concat(ring, F.slice(ring, 1, 1))
+    return bind(F.struct(px.alias("x"), py.alias("y"), closed.alias("ring")), odd)
 
 
 def in_polygon(px: Column, py: Column, rings: Column) -> Column:
@@ -251,12 +259,14 @@ def ring_distance(px: Column, py: Column, rings: Column) -> Column:
         return F.hypot(px - (p.x + t * dx), py - (p.y + t * dy))
 
     def nearest(ring: Column) -> Column:
-        closed = F.concat(ring, F.slice(ring, 1, 1))
-        return F.array_min(
-            F.transform(
-                F.sequence(F.lit(2), F.size(closed)),
-                lambda i: edge(F.element_at(closed, i - 1), F.element_at(closed, i)),
-            )
+        return bind(
+            F.concat(ring, F.slice(ring, 1, 1)),
+            lambda v: F.array_min(
+                F.transform(
+                    F.sequence(F.lit(2), F.size(v)),
+                    lambda i: edge(F.element_at(v, i - 1), F.element_at(v, i)),
+                )
+            ),
         )
 
     return F.array_min(F.transform(rings, nearest))

@@ -55,12 +55,15 @@ def buffer_point(p: Column, distance: Column, segments: int = 5) -> Column:
 def buffer_segment(line: Column, distance: Column, segments: int = 5) -> Column:
     """Capsule around a two-vertex line, round caps."""
     p, q = F.element_at(line, 1), F.element_at(line, 2)
-    heading = F.atan2(q.y - p.y, q.x - p.x)
     half = math.pi / 2
-    ring = F.concat(
-        _arc(q, distance, heading + half, -math.pi, 2 * segments),
-        _arc(p, distance, heading - half, -math.pi, 2 * segments),
-    )
+
+    def capsule(heading: Column) -> Column:
+        return F.concat(
+            _arc(q, distance, heading + half, -math.pi, 2 * segments),
+            _arc(p, distance, heading - half, -math.pi, 2 * segments),
+        )
+
+    ring = geo.bind(F.atan2(q.y - p.y, q.x - p.x), capsule)
     same = (p.x == q.x) & (p.y == q.y)
     return F.when(same, buffer_point(p, distance, segments)).otherwise(F.array(ring))
 

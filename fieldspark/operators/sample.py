@@ -11,7 +11,7 @@ from fieldspark.functions import geo
 from fieldspark.functions.crs import transform_point
 from fieldspark.operators.fields import short_names
 from fieldspark.operators.raster import PIXEL
-from fieldspark.operators.spatial import box_join, with_box
+from fieldspark.operators.spatial import BOX, box_join, with_box
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.sizing import broadcast_if_small
 
@@ -139,6 +139,7 @@ def _mask_blocks(
         "_bc",
         a.feature.alias("feature"),
         a.rings.alias("rings"),
+        *[a[n].alias(f"_{n}") for n in BOX],
         b.x0.alias("_x0"),
         b.y0.alias("_y0"),
         b.dx.alias("_dx"),
@@ -149,11 +150,13 @@ def _mask_blocks(
 def _hit(buffer_pixels: float) -> Column:
     x = F.col("_x0") + (F.col("col") + 0.5) * F.col("_dx")
     y = F.col("_y0") - (F.col("row") + 0.5) * F.col("_dy")
+    boxed = x.between(F.col("_xmin"), F.col("_xmax")) & y.between(F.col("_ymin"), F.col("_ymax"))
     inside = geo.in_polygon(x, y, F.col("rings"))
     if buffer_pixels:
         reach = buffer_pixels * F.greatest("_dx", "_dy")
         inside = inside | (geo.ring_distance(x, y, F.col("rings")) <= reach)
-    return inside
+    # The box test is cheap and goes first.
+    return boxed & inside
 
 
 def clip_raster(

@@ -113,9 +113,10 @@ def _edges(parts: Column) -> Column:
 
     def one(p: Column) -> Column:
         n = F.size(p)
-        idx = F.when(n >= 2, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            idx, lambda i: F.struct(F.element_at(p, i - 1).alias("p"), F.element_at(p, i).alias("q"))
+        return F.zip_with(
+            F.slice(p, 1, F.greatest(n - 1, F.lit(0))),
+            F.slice(p, 2, F.greatest(n - 1, F.lit(0))),
+            lambda u, v: F.struct(u.alias("p"), v.alias("q")),
         )
 
     return F.flatten(F.transform(parts, one))
@@ -161,7 +162,10 @@ def intersects(a: Column, kind_a: str, b: Column, kind_b: str) -> Column:
         on_edge = F.exists(_edges(parts_b), lambda e: _touch(e, dot))
         return on_edge if kind_b == "line" else on_edge | geo.in_polygon(a.x, a.y, b)
     parts_a = _closed(a) if kind_a == "polygon" else F.array(a)
-    cross = F.exists(_edges(parts_a), lambda s: F.exists(_edges(parts_b), lambda t: _touch(s, t)))
+    cross = geo.bind(
+        _edges(parts_b),
+        lambda eb: F.exists(_edges(parts_a), lambda s: F.exists(eb, lambda t: _touch(s, t))),
+    )
     if kind_b == "line":
         return cross
     start = F.element_at(F.element_at(parts_a, 1), 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldspark.functions.text import finite, is_missing
+from fieldspark.functions.text import finite
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.quantiles import approx_quantiles, order_statistics
 from fieldspark.plans.sizing import fits_one_task
@@ -194,13 +194,15 @@ def group_by_dir(df: DataFrame, path: str, files_per_row: int = 10_000) -> DataF
 
 
 def visible_columns(df: DataFrame, columns: Seq[str]) -> DataFrame:
-    """Whether each metric column has any value that is neither null nor zero."""
-    flags = [
-        F.coalesce(
-            F.max((~is_missing(F.col(c))) & (F.coalesce(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(1.0)) != 0)),
-            F.lit(False),
-        ).alias(c)
-        for c in columns
-    ]
+    """Whether each metric column has any value that is neither null, "N/A" nor zero."""
+
+    def shown(name: str) -> Column:
+        c = F.col(name)
+        text = F.trim(c.cast("string"))
+        zero = F.coalesce(text.try_cast("double") == 0, F.lit(False)) if name not in strings else F.lit(False)
+        return c.isNotNull() & ~text.isin("", "N/A") & ~zero
+
+    strings = {n for n, t in df.dtypes if t == "string"}
+    flags = [F.coalesce(F.max(shown(c)), F.lit(False)).alias(c) for c in columns]
     one = df.agg(*flags)
     return one.unpivot([], list(columns), "column", "visible")
