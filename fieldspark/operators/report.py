@@ -274,12 +274,13 @@ def score_images(df: DataFrame, rules: dict = THRESHOLDS, file: str = "File") ->
     """
     d = report_indicators(df)
     parts, total, count = [], F.lit(0), F.lit(0)
-    levels = {}
+    levels, kinds = {}, dict(d.dtypes)
     for name, rule in rules.items():
         value = _indicator_value(d, name)
         if value is None:
             continue
-        levels[name] = (value, level_of(rule, value))
+        typed = kinds.get(f"i_{name}") == "double" and name not in RECORD_INDICATORS
+        levels[name] = (value, level_of(rule, F.col(f"i_{name}") if typed else value, typed))
     d = d.withColumns({f"l_{n}": lvl for n, (_, lvl) in levels.items()})
     for name, (value, _) in levels.items():
         lvl = F.col(f"l_{name}")
@@ -313,8 +314,13 @@ def score_images(df: DataFrame, rules: dict = THRESHOLDS, file: str = "File") ->
 
 
 def scored_long(scored: DataFrame) -> DataFrame:
-    """One row per photo and indicator."""
-    return scored.select("filename", "flight_id", F.inline("scored"))
+    """One row per photo and indicator.
+
+    The outer form keeps Spark from deriving a size filter on ``scored`` and
+    substituting its whole expression below the projections.
+    """
+    rows = scored.select("filename", "flight_id", F.inline_outer("scored"))
+    return rows.filter(F.col("indicator").isNotNull())
 
 
 def sequence_indicators(

@@ -168,7 +168,7 @@ def flight_series(spark, sf):
 
 SERIES_SQL = """WITH e AS (SELECT user_id%7 AS flight_id, value, row_number() OVER (PARTITION BY user_id%7 ORDER BY ts, event_id) AS rn FROM events),
 s AS (SELECT greatest(1, CAST(round_even(max(rn)/100.0::DOUBLE,0) AS BIGINT)) AS size FROM e)
-SELECT flight_id, (rn-1)//size+1 AS x, round(avg(value),2) AS y FROM e, s GROUP BY 1, 2"""
+SELECT flight_id, (rn-1)//size+1 AS x, round_even(avg(value),2) AS y FROM e, s GROUP BY 1, 2"""
 
 
 def hourly_means(spark, sf):
@@ -403,7 +403,7 @@ REGISTRY = {
     "hourly_means": (hourly_means, HOURLY_SQL),
     "gsd_stability": (
         gsd_stability,
-        """SELECT CASE WHEN stddev_samp(l_quantity)/avg(l_quantity) <= 0.05 THEN 'stable' ELSE 'unstable' END AS gsd_stability_type, round(avg(l_quantity),4) AS gsd_mean,
+        """SELECT CASE WHEN stddev_samp(l_quantity)/avg(l_quantity) <= 0.05 THEN 'stable' ELSE 'unstable' END AS gsd_stability_type, round_even(avg(l_quantity),4) AS gsd_mean,
  round(stddev_samp(l_quantity),4) AS gsd_std, round(stddev_samp(l_quantity)/avg(l_quantity),4) AS gsd_cv FROM lineitem""",
     ),
     "rtk_class": (
