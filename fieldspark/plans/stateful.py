@@ -81,9 +81,10 @@ def scan(
         elif begin == 0:
             state = None
         else:
-            # Scan the rows before the piece from a cold start to guess its state.
-            first = min(reach, begin - 1) if begin < span else reach
-            _, state = kernel(rows, first, begin, "")
+            # Scan the rows before the piece to guess its state; with the whole
+            # start of the group in sight the guess is exact.
+            first, cold = (0, None) if begin < span else (reach, "")
+            _, state = kernel(rows, first, begin, cold)
         out, after = kernel(rows, begin, end, state)
         out = tagged(out, rows, piece)
         mark = out.iloc[:1].copy()
