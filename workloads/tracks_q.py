@@ -197,7 +197,27 @@ TIME_SCORE_SQL = with_sql(
     "SELECT fid, CASE WHEN dt > 5400 THEN 4 WHEN dt > 1800 THEN 1 ELSE 0 END AS score FROM arr",
 )
 
+def strips_score(spark, sf):
+    """Voting method; decided row by row, so there is no SQL."""
+    from fieldspark.operators.strip_scans import segment_strips_score
+
+    d = segment_strips_score(smooth_points(spark, sf), ["grp"], id_col="fid", min_points=20)
+    return d.select(*_STRIP_COLUMNS, "score")
+
+
+def strips_full(spark, sf):
+    """Full method; decided row by row, so there is no SQL."""
+    from fieldspark.operators.strip_scans import StripSettings, segment_strips_full
+
+    d = segment_strips_full(
+        smooth_points(spark, sf), ["grp"], id_col="fid", settings=StripSettings(min_points=15)
+    )
+    return d.select("fid", "shot_id", "shot_valid", "seg_type", "score")
+
+
 REGISTRY = {
+    "segment_strips_score": (strips_score, None),
+    "segment_strips_full": (strips_full, None),
     "segment_metrics": (segment_metrics, METRICS_SQL),
     "instant_azimuth": (instant_azimuth, INSTANT_SQL),
     "segment_strips": (strips, STRIPS_SQL),
