@@ -329,30 +329,44 @@ def classify(
     Null values are left out unless ``null_as_inf``, which treats them as
     infinity.  An indicator without a rule gets level 3.
     """
-    spark = long.sparkSession
-    table = rules_frame(spark, rules) if isinstance(rules, dict) else rules
-    table = table.withColumnRenamed("indicator", "_ind")
     d = long if null_as_inf else long.filter(F.col(value).isNotNull())
-    # A rule table has one row per indicator name.
-    d = d.join(F.broadcast(table), F.col(indicator) == F.col("_ind"), "left")
-    number = parse_num(F.col(value))
+    numeric_input = dict(long.dtypes)[value] in ("double", "float", "bigint", "int")
+    number = F.col(value).cast("double") if numeric_input else parse_num(F.col(value))
     if null_as_inf:
         number = F.when(F.col(value).isNull(), INF).otherwise(number)
-    text = _category_text(F.col(value))
-    level = _level(F.col("type"), number, text, *[F.col(c) for c in ("cuts", "lows", "highs", "mapping")])
-    numeric = F.col("type") != "categorical"
+    d = d.withColumn("_num", number)
+    number, text = F.col("_num"), F.col(value)
+    if isinstance(rules, dict):
+        # The rules are known here, so they become plain comparisons.
+        level, labels, kind = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name, rule in rules.items():
+            mine = F.col(indicator) == name
+            lvl = F.coalesce(level_of(rule, text if rule["type"] == "categorical" else number, True), F.lit(3))
+            level = F.when(mine, lvl).otherwise(level)
+            kind = F.when(mine, rule["type"]).otherwise(kind)
+        d = d.withColumns({"_lvl": level, "type": kind})
+        for name, rule in rules.items():
+            labels = F.when(F.col(indicator) == name, message_of(rule, F.col("_lvl"))).otherwise(labels)
+        d = d.withColumn("_msg", labels)
+    else:
+        table = rules.withColumnRenamed("indicator", "_ind")
+        # A rule table has one row per indicator name.
+        d = d.join(F.broadcast(table), F.col(indicator) == F.col("_ind"), "left")
+        parts = [F.col(c) for c in ("cuts", "lows", "highs", "mapping")]
+        d = d.withColumn("_lvl", _level(F.col("type"), number, _category_text(text), *parts))
+        d = d.withColumn("_msg", F.try_element_at("messages", F.col("_lvl")))
     message = (
         F.when(F.col("type").isNull(), F.concat(F.lit("Indicator "), F.col(indicator), F.lit(" nao configurado (OK default)")))
         .when(
-            numeric & number.isNull(),
-            F.concat(F.lit("Valor invalido para "), F.col(indicator), F.lit(": "), F.col(value).cast("string")),
+            (F.col("type") != "categorical") & number.isNull(),
+            F.concat(F.lit("Valor invalido para "), F.col(indicator), F.lit(": "), text.cast("string")),
         )
-        .otherwise(F.try_element_at("messages", F.col("level")))
+        .otherwise(F.col("_msg"))
     )
-    return (
-        d.withColumn("level", F.when(F.col("type").isNull(), 3).otherwise(level))
-        .withColumn("message", message)
-        .drop("_ind", "type", "cuts", "lows", "highs", "mapping", "messages")
+    return d.select(
+        *long.columns,
+        F.when(F.col("type").isNull(), 3).otherwise(F.col("_lvl")).alias("level"),
+        message.alias("message"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.rules import ALERTS, SEVERITY_ORDER, THRESHOLDS, classify
 from fieldspark.functions.text import finite_num, is_zero, is_missing, present
 from fieldspark.operators.filters import enabled
-from fieldspark.operators.photos import has, raw
+from fieldspark.operators.photos import finite_field, has, raw
 from fieldspark.operators.report import RECORD_INDICATORS
 
 # Indicator -> record field an alert looks at before the derived value.
@@ -256,7 +256,7 @@ def alerts_rtk_flag(scored: DataFrame, rules: dict = ALERTS) -> DataFrame:
         if r["mode"] != "rtk_flag":
             continue
         fixed, floating, single = r["flags"]
-        flag = finite_num(raw(scored, "RtkFlag")).cast("int")
+        flag = finite_field(scored, "RtkFlag").cast("int")
         one = scored.agg(
             F.count_if(flag == fixed).alias("fixed"),
             F.count_if(flag == floating).alias("floating"),

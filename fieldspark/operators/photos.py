@@ -19,7 +19,16 @@ from fieldspark.functions.catalog import (
     light_label,
 )
 from fieldspark.functions.rules import THRESHOLDS, level_of, message_of
-from fieldspark.functions.text import CAPTURE_FORMATS, file_uri, is_missing, parse_ts, plain_num, present
+from fieldspark.functions.text import (
+    CAPTURE_FORMATS,
+    file_uri,
+    finite,
+    finite_num,
+    is_missing,
+    parse_ts,
+    plain_num,
+    present,
+)
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.ordered import Sequence
 from fieldspark.plans.quantiles import order_statistics
@@ -51,6 +60,17 @@ def num(df: DataFrame, *names: str, default: float | None = 0.0) -> Column:
     return value if default is None else F.coalesce(value, F.lit(float(default)))
 
 
+def finite_field(df: DataFrame, *names: str) -> Column:
+    """First of the columns as a finite number, null otherwise; numbers are not re-parsed."""
+    kinds = dict(df.dtypes)
+    found = [n for n in names if n in kinds]
+    if all(kinds[n] in _NUMBERS for n in found):
+        cols = [F.col(f"`{n}`").cast("double") for n in found]
+        value = F.coalesce(*cols) if cols else F.lit(None).cast("double")
+        return F.when(finite(value), value)
+    return finite_num(raw(df, *names))
+
+
 _NUMBERS = ("double", "float", "bigint", "int", "smallint", "tinyint")
 # Fields that are numbers wherever they are read.
 NUMERIC_FIELDS = (

@@ -29,7 +29,7 @@ from fieldspark.functions.text import (
     shutter_text,
     stage_text,
 )
-from fieldspark.operators.photos import flight_id, has, num, raw
+from fieldspark.operators.photos import finite_field, flight_id, has, num, raw
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.ordered import Sequence
 from fieldspark.plans.quantiles import order_statistics
@@ -279,8 +279,9 @@ def score_images(df: DataFrame, rules: dict = THRESHOLDS, file: str = "File") ->
         value = _indicator_value(d, name)
         if value is None:
             continue
-        typed = kinds.get(f"i_{name}") == "double" and name not in RECORD_INDICATORS
-        levels[name] = (value, level_of(rule, F.col(f"i_{name}") if typed else value, typed))
+        source = RECORD_INDICATORS.get(name, f"i_{name}")
+        typed = kinds.get(source) == "double" and rule["type"] != "categorical"
+        levels[name] = (value, level_of(rule, F.col(f"`{source}`") if typed else value, typed))
     d = d.withColumns({f"l_{n}": lvl for n, (_, lvl) in levels.items()})
     for name, (value, _) in levels.items():
         lvl = F.col(f"l_{name}")
@@ -456,7 +457,7 @@ def pqi_summary(scored: DataFrame, rules: dict = THRESHOLDS) -> DataFrame:
         passed = sum((F.when(v >= c, 1).otherwise(0) for c in cuts), F.lit(0))
         return F.greatest(F.lit(1), F.least(F.lit(5), passed + 1))
 
-    v = finite_num(raw(scored, "PhotogrammetryQualityIndex"))
+    v = finite_field(scored, "PhotogrammetryQualityIndex")
     d = scored.select(v.alias("v")).withColumn("l", F.when(F.col("v").isNotNull(), level(F.col("v"))))
     one = d.agg(
         F.avg("v").alias("pqi_mean"),
@@ -501,14 +502,14 @@ def aggregate_flights(scored: DataFrame) -> DataFrame:
     d = scored
 
     def v(*names: str) -> Column:
-        return finite_num(raw(d, *names))
+        return finite_field(d, *names)
 
     speed = v("Speed3dKmh")
     lrf, exposure = v("LRFTargetDistance"), v("ExposureTime")
     iw, ih = v("ExifImageWidth"), v("ExifImageHeight")
     sized = (iw > 0) & (ih > 0)
     fields = candidate_fields(d)
-    means = [F.bround(F.avg(finite_num(F.col(f"`{n}`"))), 2).alias(f"_m{i}") for i, n in enumerate(fields)]
+    means = [F.bround(F.avg(finite_field(d, n)), 2).alias(f"_m{i}") for i, n in enumerate(fields)]
     g = d.groupBy("flight_id").agg(
         F.count(F.lit(1)).alias("images"),
         _mean2(F.col("overall_score")).alias("mean_score"),
@@ -695,7 +696,7 @@ def series_values(scored: DataFrame) -> DataFrame:
     """The twelve report series as a long (series, value) table."""
     cols = {}
     for name, fields in SERIES.items():
-        v = F.coalesce(*[finite_num(raw(scored, f)) for f in fields])
+        v = F.coalesce(*[finite_field(scored, f) for f in fields])
         cols[name] = F.when(v > 0, v) if name == "lrf_target" else v
     d = scored.select(*[c.alias(n) for n, c in cols.items()])
     return d.unpivot([], list(cols), "series", "value").filter(F.col("value").isNotNull())
@@ -714,9 +715,9 @@ def advanced_metrics(scored: DataFrame, cut: bool | None = None) -> DataFrame:
             for k in ("mean", "p5", "p95", "range")
         ]
     )
-    overlap = F.coalesce(*[finite_num(raw(scored, f)) for f in SERIES["overlap"]])
-    yaw, gimbal = finite_num(raw(scored, "YawAlignmentError")), finite_num(raw(scored, "GimbalOffset"))
-    size, speed_var = finite_num(raw(scored, "SizeMb")), finite_num(raw(scored, "SpeedVariationIndex"))
+    overlap = F.coalesce(*[finite_field(scored, f) for f in SERIES["overlap"]])
+    yaw, gimbal = finite_field(scored, "YawAlignmentError"), finite_field(scored, "GimbalOffset")
+    size, speed_var = finite_field(scored, "SizeMb"), finite_field(scored, "SpeedVariationIndex")
     rtk, light = raw(scored, "RtkEffectivePrecision"), F.trim(raw(scored, "LightConsistency"))
     rtk_num = finite_num(rtk)
 
@@ -747,7 +748,7 @@ def advanced_metrics(scored: DataFrame, cut: bool | None = None) -> DataFrame:
 
 
 def rtk_class(scored: DataFrame) -> DataFrame:
-    v = finite_num(raw(scored, "RtkStabilityScore"))
+    v = finite_field(scored, "RtkStabilityScore")
     one = scored.agg(F.avg(v).alias("m"))
     label = (
         F.when(F.col("m") >= 95, "Estavel").when(F.col("m") >= 85, "Moderado").when(F.col("m").isNotNull(), "Instavel")
@@ -759,7 +760,7 @@ def rtk_class(scored: DataFrame) -> DataFrame:
 
 def quality_trend(scored: DataFrame, cut: bool | None = None) -> DataFrame:
     """Quality index of the first and last quarter in time, of mornings and middays."""
-    v = finite_num(raw(scored, "PhotogrammetryQualityIndex"))
+    v = finite_field(scored, "PhotogrammetryQualityIndex")
     d = scored.select("capture_ts", "filename", v.alias("v")).filter(
         F.col("capture_ts").isNotNull() & F.col("v").isNotNull()
     )
@@ -785,7 +786,7 @@ def quality_trend(scored: DataFrame, cut: bool | None = None) -> DataFrame:
 
 def altitude_class(scored: DataFrame, cut: bool | None = None) -> DataFrame:
     """Whether flights kept their height above ground or above the take-off point."""
-    rel, absolute = finite_num(raw(scored, "RelativeAltitude")), finite_num(raw(scored, "AbsoluteAltitude"))
+    rel, absolute = finite_field(scored, "RelativeAltitude"), finite_field(scored, "AbsoluteAltitude")
     d = scored.select(rel.alias("rel"), (absolute - rel).alias("solo")).unpivot([], ["rel", "solo"], "k", "v")
     pct = order_statistics(d, ["k"], "v", {"a": 0.05, "b": 0.95}, "floor", cut=cut)
     span = F.bround(F.col("b") - F.col("a"), 2)
@@ -817,7 +818,7 @@ def terrain_slope(elevation_range: Column, area_ha: Column) -> Column:
 
 
 def gsd_stability(scored: DataFrame) -> DataFrame:
-    v = finite_num(raw(scored, "GroundSampleDistanceCm"))
+    v = finite_field(scored, "GroundSampleDistanceCm")
     one = scored.agg(F.count(v).alias("n"), F.avg(v).alias("m"), F.stddev_samp(v).alias("s"))
     one = one.withColumn("cv", F.when(F.col("m") != 0, F.col("s") / F.col("m")).otherwise(0.0))
     few = F.col("n") < 2
@@ -846,8 +847,8 @@ def flight_quality(altitude_type: Column, slope_pct: Column, stability: Column)
 
 def strip_analysis(scored: DataFrame) -> DataFrame:
     """Images, score and overlap per strip; no rows when any photo lacks a strip number."""
-    strip = finite_num(raw(scored, "StripId"))
-    overlap = F.coalesce(*[finite_num(raw(scored, f)) for f in SERIES["overlap"]])
+    strip = finite_field(scored, "StripId")
+    overlap = F.coalesce(*[finite_field(scored, f) for f in SERIES["overlap"]])
     d = scored.select(
         F.when(strip >= 0, F.floor(strip)).otherwise(F.ceil(strip)).cast("bigint").alias("strip_id"),
         "overall_score",

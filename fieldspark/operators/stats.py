@@ -88,14 +88,20 @@ def attribute_statistics(
     keys = [*group, "field"]
     v = F.col("value")
     if not cut:
-        extra = []
-        if not approx:
-            pct = F.percentile(v, F.array(*[F.lit(q) for q in _QUANTILES.values()]))
-            extra.append(pct.alias("_p"))
+        # Percentiles and mode work on counted values, which are far fewer than rows.
+        values = long.filter(v.isNotNull())
+        counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))
+        if approx:
+            pct = F.percentile_approx(v, list(_QUANTILES.values()), 10000)
         else:
-            extra.append(F.percentile_approx(v, list(_QUANTILES.values()), 10000).alias("_p"))
-        out = long.groupBy(*keys).agg(*_moments(v), F.mode(v, deterministic=True).alias("mode"), *extra)
-        out = out.withColumns({n: F.col("_p")[i] for i, n in enumerate(_QUANTILES)}).drop("_p")
+            pct = F.percentile(v, F.array(*[F.lit(q) for q in _QUANTILES.values()]), F.col("m"))
+        most = F.max_by("value", F.struct(F.col("m"), -v)).alias("mode")
+        source = values.withColumn("m", F.lit(1)) if approx else counts
+        spots = source.groupBy(*keys).agg(pct.alias("_p"), *([] if approx else [most]))
+        if approx:
+            spots = join_on(spots, counts.groupBy(*keys).agg(most), keys)
+        spots = spots.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(_QUANTILES)], "mode")
+        out = join_on(long.groupBy(*keys).agg(*_moments(v)), spots, keys, "left")
     else:
         values = long.filter(v.isNotNull())
         counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))

@@ -14,6 +14,8 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        # Call-site capture costs more than building the column it is for.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 
