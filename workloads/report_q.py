@@ -161,12 +161,12 @@ FROM (SELECT avg(value) FILTER (rn <= n//4) AS f, avg(value) FILTER (rn > n - n/
 
 def flight_series(spark, sf):
     e = table(spark, sf, "events").select(
-        (F.col("user_id") % 7).alias("flight_id"), "ts", "event_id", F.col("value").cast("string").alias("value")
+        (F.col("user_id") % 7).alias("flight_id"), "ts", "event_id", F.floor("value").cast("string").alias("value")
     )
     return report.flight_series(e, "value", ["ts", "event_id"])
 
 
-SERIES_SQL = """WITH e AS (SELECT user_id%7 AS flight_id, value, row_number() OVER (PARTITION BY user_id%7 ORDER BY ts, event_id) AS rn FROM events),
+SERIES_SQL = """WITH e AS (SELECT user_id%7 AS flight_id, floor(value) AS value, row_number() OVER (PARTITION BY user_id%7 ORDER BY ts, event_id) AS rn FROM events),
 s AS (SELECT greatest(1, CAST(round_even(max(rn)/100.0::DOUBLE,0) AS BIGINT)) AS size FROM e)
 SELECT flight_id, (rn-1)//size+1 AS x, round_even(avg(value),2) AS y FROM e, s GROUP BY 1, 2"""
 
