@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldspark.llm import quality_rules
-from fieldspark.llm.common import table
+from fieldspark.llm import compression_quality, labelled, quality_rules, toxicity, warc
+from fieldspark.llm.common import shared_folder, table, written
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +15,53 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(labelled.remainder(F.col("doc_id"), 5) == 0, F.lit(True))
+    rows = labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out, compression_quality.PER_CLASS)
+    model = compression_quality.fit(rows)
+    return compression_quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(labelled.remainder(F.col("doc_id"), 4) == 2, F.lit(True))
+    rows = labelled.sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out, toxicity.PER_CLASS)
+    model = toxicity.fit(rows)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_windows")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    made = written(warc.write(table(spark, sf_dir, "pages"), folder), "warc-archives")
+    records = warc.read_archives(made, folder, made.count(), payloads=False)
+    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
+    return records.select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+o AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.d) AS payload_digest,
+       CASE WHEN coalesce(original, page_id) = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN o ON n >= 1000 AND p.d = o.d"""
+
+
 def queries() -> dict:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {
+        "op2_warc": op2_warc,
+        "op1_toxicity": op1_toxicity,
+        "op9_compression_quality": op9_compression_quality,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op10_quality_rules": quality_rules.oracle()}
+    return {"op2_warc": WARC_SQL, "op10_quality_rules": quality_rules.oracle()}
