@@ -30,6 +30,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_c
     return [(r.text, r.y) for r in sorted(found.collect(), key=lambda r: (r.doc_id, r.y, r.text))]
 
 
+def share(labels: DataFrame, label: str, usable: Column) -> float:
+    """The part of the usable labelled rows that has label 1; one half where there are none."""
+    y = F.col(label).cast("int")
+    n = labels.filter(usable & y.isin(0, 1)).agg(F.count("*"), F.sum(y)).first()
+    return n[1] / n[0] if n[0] else 0.5
+
+
 def logistic(x, y, rounds: int = 60):
     """Weights of a class-balanced logistic regression by Newton's method; the last weight is the intercept."""
     import numpy as np

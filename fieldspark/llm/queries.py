@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import compression_quality, labelled, quality_rules, toxicity, warc
+from fieldspark.llm import compression_quality, labelled, packing, quality_rules, toxicity, warc
 from fieldspark.llm.common import shared_folder, table, written
 
 
@@ -26,8 +26,9 @@ def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(labelled.remainder(F.col("doc_id"), 4) == 2, F.lit(True))
-    rows = labelled.sample(docs, table(spark, sf_dir, "labels"), "toxic", ~held_out, toxicity.PER_CLASS)
-    model = toxicity.fit(rows)
+    labels = table(spark, sf_dir, "labels")
+    rows = labelled.sample(docs, labels, "toxic", ~held_out, toxicity.PER_CLASS)
+    model = toxicity.fit(rows, labelled.share(labels, "toxic", ~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_windows")
 
 
@@ -54,10 +55,22 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.d) AS payload_digest,
 FROM p LEFT JOIN o ON n >= 1000 AND p.d = o.d"""
 
 
+def tokenizer(name: str) -> str:
+    """A public tokenizer's file; the operators take its path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {
         "op2_warc": op2_warc,
         "op1_toxicity": op1_toxicity,
+        "op8_packing": op8_packing,
         "op9_compression_quality": op9_compression_quality,
         "op10_quality_rules": op10_quality_rules,
     }

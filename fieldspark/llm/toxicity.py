@@ -1,11 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word enters as a learned vector of its hash bucket beside the mean vector of its character trigrams.  Windows of
+A word enters as a learned vector of its own (one for all words that few training documents hold) beside the mean
+vector of its character trigrams.  Windows of
 WINDOW words start every STRIDE words, the last one ends at the last word, so all words of a text are read; a text's
 score is a logistic curve over its highest window and its number of windows.
 
 Training knows only document labels: windows of clean documents are clean, and of a toxic document the window that
-scores highest so far stands for it (all its windows in the first round).
+scores highest so far stands for it; in the first round those that hold its word with the highest odds of being
+found in a toxic document rather than in a clean one.
 
 Edge cases: null and empty texts are one window of padding; ties and repeated rows are scored one by one; with fewer
 than MIN_FIT documents of a class every score is 0.5; an empty table gives an empty result; other columns are passed
@@ -15,7 +17,7 @@ on by `score`, its output columns win over theirs.
 from __future__ import annotations
 
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +29,16 @@ from fieldspark.llm import labelled
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 12, 12
-WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 13
+CHAR_BUCKETS = 1 << 13
+#: Training documents that must hold a word before it gets a vector of its own, and most such words.
+MIN_DOCUMENTS, MOST_WORDS = 3, 1 << 15
 #: Labelled rows of each class to learn from; the sample that reaches the driver is never larger.
 PER_CLASS = 900
 #: Windows of one document that training looks at, drawn at random from all of it.
 TRAIN_WINDOWS = 40
 MIN_FIT = 8
+#: Training steps of a round at least; small samples are passed over again.
+MIN_STEPS = 60
 #: Windows scored together, and word vectors a task keeps.
 BATCH_WINDOWS, KEPT_WORDS = 4096, 200_000
 
@@ -51,19 +57,24 @@ def window_starts(n: int) -> np.ndarray:
     return starts if starts[-1] + WINDOW == n else np.append(starts, n - WINDOW)
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, trigram buckets of all words in a row, and where each word's trigrams begin."""
-    bare = [b"^" + (_EDGES.sub("", w) or w).encode("utf-8", "surrogatepass") + b"$$" for w in words]
-    size = np.fromiter(map(len, bare), np.int64, len(bare))
-    word = np.fromiter(map(zlib.crc32, bare), np.int64, len(bare)) % WORD_BUCKETS
-    b = np.frombuffer(b"".join(bare) + b"\0\0", np.uint8).astype(np.uint32)
+def bare(word: str) -> str:
+    return _EDGES.sub("", word) or word
+
+
+def features(words: list[str], vocabulary: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers, trigram buckets of all words in a row, and where each word's trigrams begin."""
+    plain = [bare(w) for w in words]
+    word = np.fromiter((vocabulary.get(w, 0) for w in plain), np.int64, len(plain))
+    plain = [b"^" + w.encode("utf-8", "surrogatepass") + b"$$" for w in plain]
+    size = np.fromiter(map(len, plain), np.int64, len(plain))
+    b = np.frombuffer(b"".join(plain) + b"\0\0", np.uint8).astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     begin = np.cumsum(size) - size
     inside = np.ones(len(code), bool)
     last = begin + size - 1
     inside[last] = inside[last - 1] = False
     bucket = ((code * np.uint32(2654435761)) >> np.uint32(19)).astype(np.int64)
-    return word, bucket[inside], begin - 2 * np.arange(len(bare))
+    return word, bucket[inside], begin - 2 * np.arange(len(plain))
 
 
 def sigmoid(x):
@@ -73,13 +84,14 @@ def sigmoid(x):
 class Network:
     """Parameters p; inputs are windows of word numbers, -1 for padding."""
 
-    def __init__(self, seed: int = 7):
+    def __init__(self, vocabulary: dict[str, int], seed: int = 7):
+        self.vocabulary = vocabulary
         r = np.random.default_rng(seed)
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         init = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {
-            "word": (r.standard_normal((WORD_BUCKETS, WORD_DIM)) * 0.1).astype(np.float32),
-            "char": (r.standard_normal((CHAR_BUCKETS, CHAR_DIM)) * 0.3).astype(np.float32),
+            "word": (r.standard_normal((len(vocabulary) + 1, WORD_DIM)) * 0.1).astype(np.float32),
+            "char": (r.standard_normal((CHAR_BUCKETS, CHAR_DIM)) * 0.1).astype(np.float32),
             "w": init(d, 6 * h),
             "b": np.zeros(6 * h, np.float32),
             "uf": init(h, 3 * h),
@@ -209,7 +221,7 @@ class Reader:
         new = list(dict.fromkeys(words[i] for i in np.flatnonzero(at < 0)))
         self.extra = np.empty((0, 6 * HIDDEN), np.float32)
         if new:
-            g = self.net.gates(*features(new))
+            g = self.net.gates(*features(new, self.net.vocabulary))
             room = min(len(new), KEPT_WORDS - self.used)
             self.table[self.used : self.used + room] = g[:room]
             self.numbers.update(zip(new[:room], range(self.used, self.used + room), strict=True))
@@ -254,8 +266,10 @@ class Reader:
         return best, count
 
 
-def fit(rows: list[tuple[str, int]], rounds: int = 5, seed: int = 7) -> Network | None:
-    """The network from three quarters of the rows, the curve over a document's windows from the others."""
+def fit(rows: list[tuple[str, int]], prior: float = 0.5, rounds: int = 5, seed: int = 7) -> Network | None:
+    """The network from three quarters of the rows, the curve over a document's windows from the others.
+
+    prior: the share of toxic documents among those to be scored."""
     if min(sum(y == k for _, y in rows) for k in (0, 1)) < MIN_FIT:
         return None
     build = [r for i, r in enumerate(rows) if i % 4]
@@ -271,32 +285,51 @@ def fit(rows: list[tuple[str, int]], rounds: int = 5, seed: int = 7) -> Network
             windows.append(np.pad(own, (0, WINDOW - len(own)), constant_values=-1))
             owner.append(d)
     windows, owner = np.stack(windows), np.array(owner)
-    word, chars, begin = features(list(numbers)) if numbers else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
+    held = Counter(w for text, _ in build for w in {bare(x) for x in words_of(text)})
+    frequent = [w for w, n in held.most_common(MOST_WORDS) if n >= MIN_DOCUMENTS]
+    vocabulary = {w: i + 1 for i, w in enumerate(sorted(frequent))}
+    odds = _odds(build, vocabulary)
+    word_odds = np.array([odds.get(bare(w), 0.0) for w in numbers] + [0.0])
+    word, chars, begin = features(list(numbers), vocabulary) if numbers else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
     words = (word, np.split(chars, begin[1:]) if len(begin) else [])
     toxic = np.array([y for _, y in build])[owner] == 1
-    net, state = Network(seed), {}
+    net, state = Network(vocabulary, seed), {}
     for k in range(rounds):
+        clean = np.flatnonzero(~toxic)
         if k == 0:
-            use = np.arange(len(windows))
+            most = word_odds[windows].max(1)
+            top = pd.Series(most).groupby(owner).transform("max").to_numpy()
+            best = np.flatnonzero(toxic & (most >= 0.7 * top))
+            use = np.concatenate([best, r.permutation(clean)[: 8 * len(best)]])
         else:
             logit = np.concatenate([_window_odds(net, words, windows[i : i + 4096]) for i in range(0, len(windows), 4096)])
             best = pd.Series(np.where(toxic, logit, -np.inf)).groupby(owner).idxmax().to_numpy()
             best = best[toxic[best]]
-            clean = np.flatnonzero(~toxic)
             hard = clean[np.argsort(-logit[clean])[: 4 * len(best)]]
             use = np.concatenate([np.repeat(best, 3), hard, r.permutation(clean)[: 4 * len(best)]])
         y = toxic[use].astype(np.float32)
         weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-        order = r.permutation(len(use))
+        passes = max(1, MIN_STEPS * 256 // len(use))
+        order = np.concatenate([r.permutation(len(use)) for _ in range(min(passes, 40))])
         for i in range(0, len(order), 256):
             b = order[i : i + 256]
             net.step(words, windows[use[b]], y[b], weight[b], 0.01 / (1 + 0.5 * k), state)
     best, count = Reader(net).log_odds([t for t, _ in tune])
     x = np.column_stack([best, np.log(count)])
-    net.curve = tuple(labelled.logistic(x, np.array([y for _, y in tune])))
+    a, b, c = labelled.logistic(x, np.array([y for _, y in tune]))
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
+    net.curve = (a, b, c + np.log(prior / (1 - prior)))
     return net
 
 
+def _odds(rows: list[tuple[str, int]], vocabulary: dict[str, int]) -> dict[str, float]:
+    """Log odds of a frequent word being held by a toxic document, against a clean one."""
+    held = [Counter(w for text, y in rows if y == k for w in {bare(x) for x in words_of(text)}) for k in (0, 1)]
+    n = [sum(y == k for _, y in rows) for k in (0, 1)]
+    share = lambda w, k: (held[k][w] + 0.5) / (n[k] + 1)
+    return {w: float(np.log(share(w, 1) / share(w, 0))) for w in vocabulary}
+
+
 def _window_odds(net: Network, words, windows) -> np.ndarray:
     used, places = np.unique(windows[windows >= 0], return_inverse=True)
     local = np.full(windows.shape, len(used))
