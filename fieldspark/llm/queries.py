@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import compression_quality, labelled, packing, quality_rules, toxicity, warc
+from fieldspark.llm import compression_quality, decontaminate, labelled, near_duplicates, packing, quality_rules, toxicity, warc
 from fieldspark.llm.common import shared_folder, table, written
 
 
@@ -62,6 +62,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -70,6 +78,8 @@ def queries() -> dict:
     return {
         "op2_warc": op2_warc,
         "op1_toxicity": op1_toxicity,
+        "op3_near_duplicates": op3_near_duplicates,
+        "op7_decontamination": op7_decontamination,
         "op8_packing": op8_packing,
         "op9_compression_quality": op9_compression_quality,
         "op10_quality_rules": op10_quality_rules,
