@@ -27,8 +27,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: lineage ends there and columns can be pruned."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = shared_folder(df.sparkSession, name), df.sparkSession.conf
+    # Shuffle files of the finished write are of no more use; without this they stay until the driver collects garbage.
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import compression_quality, decontaminate, labelled, near_duplicates, packing, quality_rules, toxicity, warc
+from fieldspark.llm import compression_quality, decontaminate, labelled, line_dedup, near_duplicates, packing, quality_rules, toxicity, warc
 from fieldspark.llm.common import shared_folder, table, written
 
 
@@ -66,6 +66,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.line_table(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "line_no", "first_doc_id", "first_line_no", "kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,6 +84,7 @@ def queries() -> dict:
         "op2_warc": op2_warc,
         "op1_toxicity": op1_toxicity,
         "op3_near_duplicates": op3_near_duplicates,
+        "op6_line_dedup": op6_line_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_packing": op8_packing,
         "op9_compression_quality": op9_compression_quality,
