@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import compression_quality, decontaminate, labelled, line_dedup, near_duplicates, packing, quality_rules, toxicity, warc
+from fieldspark.llm import compression_quality, decontaminate, labelled, license_scan, line_dedup, near_duplicates, packing, quality_rules, token_files, toxicity, warc
 from fieldspark.llm.common import shared_folder, table, written
 
 
@@ -66,6 +66,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.known(spark))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = shared_folder(spark, "tokens"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf_dir, "documents")
+    made = written(token_files.write(docs, folder, tokenizer("byte_bpe_50k.json"), 2, files), "token-files")
+    rows = token_files.read(spark, folder, token_files.with_start(made), ids=False)
+    return rows.select("doc_id", F.col("before").alias("start"), "n_tokens", "ids_crc32")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = line_dedup.line_table(table(spark, sf_dir, "documents"))
     return lines.select("doc_id", "line_no", "first_doc_id", "first_line_no", "kept")
@@ -84,6 +96,8 @@ def queries() -> dict:
         "op2_warc": op2_warc,
         "op1_toxicity": op1_toxicity,
         "op3_near_duplicates": op3_near_duplicates,
+        "op4_license_scan": op4_license_scan,
+        "op5_token_files": op5_token_files,
         "op6_line_dedup": op6_line_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_packing": op8_packing,
@@ -93,4 +107,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc": WARC_SQL, "op10_quality_rules": quality_rules.oracle()}
+    return {"op2_warc": WARC_SQL, "op4_license_scan": license_scan.oracle(), "op10_quality_rules": quality_rules.oracle()}
