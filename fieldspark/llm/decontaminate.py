@@ -72,7 +72,7 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
 class Block:
     """Items of the benchmark with an index of their seeds for each mask."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         hashed = Words()
         self.ids = [i for i, _ in items]
         self.words = [hashed.of(t) for _, t in items]
@@ -139,7 +139,7 @@ def verified(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int = MIN
     return a + shift + i, a + i, j - i, int(equal[i:j].sum())
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
     block, size = [], 0
     for r in benchmark.toLocalIterator():
         block.append((r[0], r[1] or ""))
@@ -154,9 +154,11 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """A row for each verified overlap of a document and an item (the longest of a pair's alignment)."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    # Ids travel as text: pandas would turn long numbers beside nulls into floats.
+    slim = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("t"))
     out = spark.createDataFrame([], OVERLAP_COLUMNS)
-    for items in _blocks(benchmark.select(F.col(item_id).cast("long"), text)):
+    names = [c.split()[0] for c in OVERLAP_COLUMNS.split(", ")]
+    for items in _blocks(benchmark.select(F.col(item_id).cast("string"), text)):
         shipped = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
@@ -165,14 +167,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
                 docs_words = [hashed.of(t) for t in batch["t"]]
                 ends = np.cumsum([len(w) for w in docs_words])
                 words = np.concatenate(docs_words) if docs_words else np.zeros(0, np.uint64)
-                ids, rows = batch["doc_id"].astype("Int64").tolist(), []
+                ids, rows = batch["doc_id"].tolist(), []
                 for k, i, shift in sorted(block.alignments(words, ends)) if len(words) else ():
                     if got := verified(docs_words[k], block.words[i], shift):
                         rows.append((ids[k], block.ids[i], *got))
-                frame = pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAP_COLUMNS.split(", ")])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+                yield pd.DataFrame(rows, columns=names)
 
-        out = out.unionByName(slim.mapInPandas(scan, OVERLAP_COLUMNS))
+        found = slim.mapInPandas(scan, OVERLAP_COLUMNS.replace("_id long", "_id string"))
+        out = out.unionByName(found.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "item_id")}))
     return out
 
 
