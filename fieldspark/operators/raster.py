@@ -24,8 +24,8 @@ def valid(value: Column, nodata: Column | float | None, tolerance: float = 1e-4)
     return ok & F.coalesce(F.abs(value - nd) > tolerance, F.lit(True))
 
 
-def layer(raster_id=None, band: int | None = None) -> Column:
-    """Condition that picks one layer of a pixel table."""
+def layer(raster_id=None, band: int | None = 1) -> Column:
+    """Condition that picks one layer of a pixel table; band None takes all bands."""
     cond = F.lit(True)
     if raster_id is not None:
         cond = cond & (F.col("raster_id") == raster_id)
@@ -34,18 +34,48 @@ def layer(raster_id=None, band: int | None = None) -> Column:
     return cond
 
 
-def align(pixels: DataFrame, layers: dict[str, Column], keys: Seq[str] = CELL) -> DataFrame:
+def align(
+    pixels: DataFrame,
+    layers: dict[str, Column],
+    keys: Seq[str] = CELL,
+    grids: DataFrame | None = None,
+    to=None,
+    bilinear: Seq[str] = (),
+) -> DataFrame:
     """Put layers on the same grid side by side, one column each.
 
-    One scan and one shuffle on the cell whatever the number of layers.
+    Without ``grids`` the rasters share one grid.  With them every layer is put on the grid of raster ``to`` by
+    world position, those named in ``bilinear`` by that kernel and the others by the nearest cell, and pixels
+    without data count as absent.  One scan and one shuffle on the cell whatever the number of layers.  A layer
+    that has several pixels in a cell is an error: its condition leaves out the raster or the band.
     """
     keep = F.lit(False)
     for cond in layers.values():
         keep = keep | cond
-    return (
-        pixels.filter(keep)
-        .groupBy(*keys)
-        .agg(*[F.max(F.when(c, F.col("value"))).alias(n) for n, c in layers.items()])
+    chosen = pixels.filter(keep)
+    if grids is not None:
+        from fieldspark.operators.resample import grid_of, resample
+
+        target = grid_of(grids, to)
+        parts = []
+        for method in ("nearest", "bilinear"):
+            names = [n for n in layers if (n in bilinear) == (method == "bilinear")]
+            if names:
+                own = F.lit(False)
+                for n in names:
+                    own = own | layers[n]
+                part = resample(chosen.filter(own).select(*PIXEL), grids, target, method)
+                parts.append(part.withColumn("_by", F.lit(method)))
+        chosen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        layers = {
+            n: c & (F.col("_by") == ("bilinear" if n in bilinear else "nearest")) for n, c in layers.items()
+        }
+    several = F.raise_error(F.lit("a layer has several pixels in one cell; name its raster and band")).cast("double")
+    return chosen.groupBy(*keys).agg(
+        *[
+            F.when(F.count_if(c) > 1, several).otherwise(F.max(F.when(c, F.col("value")))).alias(n)
+            for n, c in layers.items()
+        ]
     )
 
 
@@ -61,23 +91,33 @@ def normalised_difference(a: Column, b: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise((a - b) / (F.abs(total) + 1e-10))
 
 
-def ndvi(pixels: DataFrame, nir: Column, red: Column, out_id="ndvi") -> DataFrame:
-    d = align(pixels, {"_a": nir, "_b": red}).filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
+def ndvi(pixels: DataFrame, nir: Column, red: Column, out_id="ndvi", grids: DataFrame | None = None, to=None) -> DataFrame:
+    """Normalised difference; with ``grids`` both bands are put on the grid of raster ``to``."""
+    d = align(pixels, {"_a": nir, "_b": red}, grids=grids, to=to).filter(F.col("_a").isNotNull() & F.col("_b").isNotNull())
     return _pixels(d, normalised_difference(F.col("_a"), F.col("_b")), out_id)
 
 
-def ndre(pixels: DataFrame, nir: Column, red_edge: Column, out_id="ndre") -> DataFrame:
-    return ndvi(pixels, nir, red_edge, out_id)
+def ndre(
+    pixels: DataFrame, nir: Column, red_edge: Column, out_id="ndre", grids: DataFrame | None = None, to=None
+) -> DataFrame:
+    return ndvi(pixels, nir, red_edge, out_id, grids, to)
 
 
 def gli(
-    pixels: DataFrame, red: Column, green: Column, blue: Column, alpha: Column | None = None, out_id="gli"
+    pixels: DataFrame,
+    red: Column,
+    green: Column,
+    blue: Column,
+    alpha: Column | None = None,
+    out_id="gli",
+    grids: DataFrame | None = None,
+    to=None,
 ) -> DataFrame:
     """Green leaf index of the chosen bands; pixels with alpha up to 250 are nodata."""
     layers = {"_r": red, "_g": green, "_b": blue}
     if alpha is not None:
         layers["_alpha"] = alpha
-    d = align(pixels, layers).filter(
+    d = align(pixels, layers, grids=grids, to=to).filter(
         F.col("_r").isNotNull() & F.col("_g").isNotNull() & F.col("_b").isNotNull()
     )
     g2, r, b = F.col("_g") * 2.0, F.col("_r"), F.col("_b")
@@ -94,10 +134,19 @@ def detect_alpha(pixels: DataFrame, band: int = 4) -> bool:
 
 
 def canopy_height(
-    pixels: DataFrame, dsm: Column, dtm: Column, dsm_nodata=NODATA, dtm_nodata=NODATA, out_id="chm"
+    pixels: DataFrame,
+    dsm: Column,
+    dtm: Column,
+    dsm_nodata=NODATA,
+    dtm_nodata=NODATA,
+    out_id="chm",
+    grids: DataFrame | None = None,
+    to=None,
 ) -> DataFrame:
-    """Surface minus terrain, not below 0; nodata where either side has none."""
-    d = align(pixels, {"_s": dsm, "_t": dtm})
+    """Surface minus terrain, not below 0; nodata where either side has none.
+
+    With ``grids`` the terrain is interpolated bilinearly on the grid of the surface raster ``to``."""
+    d = align(pixels, {"_s": dsm, "_t": dtm}, grids=grids, to=to, bilinear=("_t",))
     s, t = F.col("_s"), F.col("_t")
     ok = valid(s, dsm_nodata) & valid(t, dtm_nodata)
     return _pixels(d, F.when(ok, F.greatest(s - t, F.lit(0.0))).otherwise(NODATA), out_id)
@@ -129,19 +178,32 @@ def raster_pairs(grids: DataFrame) -> DataFrame:
 
 
 def pairwise_difference(pixels: DataFrame, grids: DataFrame) -> DataFrame:
-    """Pixels of A - B for each overlapping pair on a shared grid.
+    """Pixels of A - B for each overlapping pair, on the cells of A.
 
-    Nodata of A replaces the difference where either side has none.  Pixels meet
-    by an equi join on (pair, cell).
-    """
+    B is read at the centres of A's cells.  Nodata of A replaces the difference where either side has none.
+    Pixels meet by an equi join on (pair, cell)."""
     pairs = raster_pairs(grids)
     px = pixels.filter(F.col("band") == 1).select("raster_id", *CELL, "value")
     a = join_on(
         px.withColumnRenamed("raster_id", "raster_a"), pairs.select("raster_a", "raster_b", "nodata_a"), ["raster_a"]
     ).withColumnRenamed("value", "_a")
-    b = join_on(
-        px.withColumnRenamed("raster_id", "raster_b"), pairs.select("raster_a", "raster_b", "nodata_b"), ["raster_b"]
-    ).withColumnRenamed("value", "_b")
+    shape = grids.select("raster_id", "x0", "y0", "dx", "dy", "ncols", "nrows")
+    named = lambda side: shape.select(*[F.col(c).alias(f"raster_{side}" if c == "raster_id" else f"_{side}_{c}") for c in shape.columns])
+    placed = join_on(join_on(pairs, named("a"), ["raster_a"]), named("b"), ["raster_b"]).drop("nodata_a")
+    b = join_on(px.withColumnRenamed("raster_id", "raster_b"), placed, ["raster_b"]).withColumnRenamed("value", "_b")
+
+    def cells(index: str, offset: Column, size: str, count: str) -> Column:
+        """Cells of A along one axis whose centres lie in B's cell."""
+        own, target = F.col(f"_b_{size}"), F.col(f"_a_{size}")
+        low = F.ceil((offset + F.col(index) * own) / target - 0.5).cast("int")
+        high = F.ceil((offset + (F.col(index) + 1) * own) / target - 0.5).cast("int") - 1
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.col(f"_a_{count}").cast("int") - 1)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    rows = cells("row", F.col("_a_y0") - F.col("_b_y0"), "dy", "nrows")
+    cols = cells("col", F.col("_b_x0") - F.col("_a_x0"), "dx", "ncols")
+    b = b.select("raster_a", "raster_b", "nodata_b", "_b", F.explode(rows).alias("_row"), cols.alias("_cols"))
+    b = b.select("raster_a", "raster_b", "nodata_b", "_b", F.col("_row").alias("row"), F.explode("_cols").alias("col"))
     d = a.join(b, ["raster_a", "raster_b", *CELL])
     ok = (F.col("_a") != F.col("nodata_a")) & (F.col("_b") != F.col("nodata_b"))
     diff = F.when(ok, F.col("_a") - F.col("_b")).otherwise(F.col("nodata_a"))
@@ -165,13 +227,17 @@ def raster_differences(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     )
 
 
-def weighted_average(pixels: DataFrame, weights: dict, out_id="weighted") -> DataFrame:
-    """Weighted mean of 2 to 4 rasters where all of them have a value."""
+def weighted_average(
+    pixels: DataFrame, weights: dict, out_id="weighted", grids: DataFrame | None = None, band: int = 1
+) -> DataFrame:
+    """Weighted mean of 2 to 4 rasters where all of them have a value.
+
+    With ``grids`` they are put on the grid of the first one."""
     total = float(sum(weights.values()))
     if total == 0:
         raise ValueError("weights sum to 0")
-    names = {f"_r{i}": layer(r) for i, r in enumerate(weights)}
-    d = align(pixels, names)
+    names = {f"_r{i}": layer(r, band) for i, r in enumerate(weights)}
+    d = align(pixels, names, grids=grids, to=next(iter(weights)))
     value, ok = F.lit(0.0), F.lit(True)
     for n, w in zip(names, weights.values()):
         value = value + F.col(n) * float(w)

@@ -32,6 +32,14 @@ class Grid:
     nrows: int
 
 
+def grid_of(grids: DataFrame, raster_id) -> Grid:
+    """The grid of one raster."""
+    row = grids.filter(F.col("raster_id") == raster_id).first()
+    if row is None:
+        raise ValueError(f"no grid of raster {raster_id}")
+    return Grid(row["x0"], row["y0"], row["dx"], row["dy"], row["ncols"], row["nrows"])
+
+
 def _with_grid(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     g = grids.select(
         "raster_id",

@@ -103,7 +103,7 @@ def pixels(spark: SparkSession, sf: str, value: str = "l_quantity") -> DataFrame
 
 
 def grids(spark: SparkSession, sf: str) -> DataFrame:
-    """One 64 x 64 grid per raster id, shifted a little so extents differ."""
+    """One 64 x 64 grid per raster id, all with the same extent."""
     li = table(spark, sf, "lineitem")
     return li.select(F.col("l_linenumber").alias("raster_id")).distinct().select(
         "raster_id",
@@ -116,3 +116,22 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(32722).alias("srid"),
         F.lit(-9999.0).alias("nodata"),
     )
+
+
+def shifted_grids(spark: SparkSession, sf: str) -> DataFrame:
+    """Grids with origins of their own; raster 4 has cells of twice the size."""
+    k = F.col("raster_id")
+    size = F.when(k == 4, 2.0).otherwise(1.0)
+    return grids(spark, sf).withColumns(
+        {"x0": 2.0 * (k % 3), "y0": 64.0 - (k % 2), "dx": size, "dy": size}
+    )
+
+
+SHIFTED_SQL = """g AS (
+  SELECT k AS raster_id, 2.0 * (k % 3) AS x0, 64.0 - (k % 2) AS y0, CASE WHEN k = 4 THEN 2.0 ELSE 1.0 END AS d
+  FROM (SELECT DISTINCT l_linenumber AS k FROM lineitem))"""
+
+
+def two_bands(px: DataFrame) -> DataFrame:
+    """The pixels with a second band of other values."""
+    return px.unionByName(px.withColumns({"band": F.lit(2), "value": F.col("value") + 100.0}))

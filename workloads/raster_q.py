@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import geo
 from fieldspark.operators import raster, resample, sample
 from fieldspark.operators.raster import layer
-from workloads.inputs import PIXELS_SQL, grids, pixels, table, with_sql
+from workloads.inputs import PIXELS_SQL, SHIFTED_SQL, grids, pixels, shifted_grids, table, two_bands, with_sql
 from workloads.tables_q import _round
 
 
@@ -25,7 +25,20 @@ _AB = """ab AS (SELECT row, col, max(CASE WHEN raster_id=1 THEN value END) AS a,
 
 
 def ndvi(spark, sf):
-    return _out(raster.ndvi(pixels(spark, sf), layer(1), layer(2)))
+    px = two_bands(pixels(spark, sf))
+    return _out(raster.ndvi(px, layer(1), layer(4), grids=shifted_grids(spark, sf), to=1))
+
+
+# What a raster has at the centres of raster 1's cells: the nearest pixel, and a bilinear mean of the pixels there are.
+_AT_1 = """cells AS (SELECT r.i AS row, c.i AS col FROM range(64) r(i), range(64) c(i)),
+near AS (SELECT cells.row, cells.col, p.raster_id, p.value FROM cells, g AS s, g AS t, pixels p
+ WHERE t.raster_id = 1 AND p.raster_id = s.raster_id AND p.col = floor((cells.col + 0.5 - (s.x0 - t.x0)) / s.d)
+ AND p.row = floor((cells.row + 0.5 - (t.y0 - s.y0)) / s.d) AND p.value <> -9999),
+uv AS (SELECT cells.row, cells.col, s.raster_id, (cells.col + 0.5 - (s.x0 - t.x0)) / s.d - 0.5 AS u,
+ (cells.row + 0.5 - (t.y0 - s.y0)) / s.d - 0.5 AS v FROM cells, g AS s, g AS t WHERE t.raster_id = 1),
+smooth AS (SELECT uv.row, uv.col, uv.raster_id, sum((1 - abs(u - p.col)) * (1 - abs(v - p.row)) * value) / sum((1 - abs(u - p.col)) * (1 - abs(v - p.row))) AS value
+ FROM uv JOIN pixels p ON p.raster_id = uv.raster_id AND p.col BETWEEN floor(u) AND floor(u) + 1 AND p.row BETWEEN floor(v) AND floor(v) + 1
+ WHERE abs(u - p.col) < 1 AND abs(v - p.row) < 1 AND u BETWEEN -0.5 AND 63.5 AND v BETWEEN -0.5 AND 63.5 AND value <> -9999 GROUP BY ALL)"""
 
 
 def ndre(spark, sf):
@@ -47,17 +60,23 @@ def canopy_height(spark, sf):
     px = pixels(spark, sf).withColumn(
         "value", F.when((F.col("row") + F.col("col")) % 9 == 0, -9999.0).otherwise(F.col("value"))
     )
-    return _out(raster.canopy_height(px, layer(1), layer(2)))
-
-
-CHM_SQL = _sql(
-    "SELECT row, col, round(CASE WHEN (row+col)%9=0 OR a IS NULL OR b IS NULL THEN -9999 ELSE greatest(a-b,0) END,6) AS value FROM ab WHERE a IS NOT NULL OR b IS NOT NULL",
-    _AB,
+    return _out(raster.canopy_height(px, layer(1), layer(4), grids=shifted_grids(spark, sf), to=1))
+
+
+CHM_SQL = with_sql(
+    [
+        PIXELS_SQL.replace("pixels AS", "measured AS"),
+        "pixels AS (SELECT raster_id, band, row, col, CASE WHEN (row + col) % 9 = 0 THEN -9999 ELSE value END AS value FROM measured)",
+        SHIFTED_SQL,
+        _AT_1,
+    ],
+    """SELECT row, col, round(CASE WHEN a.value IS NULL OR b.value IS NULL THEN -9999 ELSE greatest(a.value - b.value, 0) END, 6) AS value
+FROM (SELECT * FROM near WHERE raster_id = 1) a FULL JOIN (SELECT * FROM smooth WHERE raster_id = 4) b USING (row, col)""",
 )
 
 
 def raster_differences(spark, sf):
-    d = raster.raster_differences(pixels(spark, sf), grids(spark, sf))
+    d = raster.raster_differences(two_bands(pixels(spark, sf)), shifted_grids(spark, sf))
     return _round(d)
 
 
@@ -65,12 +84,17 @@ DIFFERENCES_SQL = _sql(
     """SELECT p.raster_id AS raster_a, q.raster_id AS raster_b, count(*) AS count, round(min(p.value-q.value),6) AS min,
  round(max(p.value-q.value),6) AS max, round(max(p.value-q.value)-min(p.value-q.value),6) AS interval,
  round(avg(p.value-q.value),6) AS mean, round(stddev_samp(p.value-q.value),6) AS std_dev
-FROM pixels p JOIN pixels q ON p.row=q.row AND p.col=q.col AND p.raster_id < q.raster_id GROUP BY 1, 2"""
+FROM pixels p JOIN g t ON t.raster_id = p.raster_id JOIN g s ON s.raster_id > t.raster_id
+JOIN pixels q ON q.raster_id = s.raster_id AND q.col = floor(((p.col + 0.5) * t.d - (s.x0 - t.x0)) / s.d)
+ AND q.row = floor(((p.row + 0.5) * t.d - (t.y0 - s.y0)) / s.d)
+GROUP BY 1, 2""",
+    SHIFTED_SQL,
 )
 
 
 def weighted_average(spark, sf):
-    return _out(raster.weighted_average(pixels(spark, sf), {1: 2.0, 2: 1.0, 3: 0.5}))
+    px = two_bands(pixels(spark, sf))
+    return _out(raster.weighted_average(px, {1: 2.0, 2: 1.0, 4: 0.5}, grids=shifted_grids(spark, sf)))
 
 
 def adjust_mean(spark, sf):
@@ -296,7 +320,14 @@ def clip_extent(spark, sf):
 
 _IN_ALL = f"SELECT DISTINCT raster_id, row, col FROM c JOIN m ON {_IN}"
 REGISTRY = {
-    "ndvi": (ndvi, _sql("SELECT row, col, round((a-b)/(abs(a+b)+1e-10),6) AS value FROM ab WHERE a IS NOT NULL AND b IS NOT NULL", _AB)),
+    "ndvi": (
+        ndvi,
+        _sql(
+            """SELECT row, col, round((a.value - b.value) / (abs(a.value + b.value) + 1e-10), 6) AS value
+FROM near a JOIN near b USING (row, col) WHERE a.raster_id = 1 AND b.raster_id = 4""",
+            SHIFTED_SQL, _AT_1,
+        ),
+    ),
     "ndre": (ndre, _sql("SELECT row, col, round((a-c)/(abs(a+c)+1e-10),6) AS value FROM ab WHERE a IS NOT NULL AND c IS NOT NULL", _AB)),
     "gli": (gli, _sql("SELECT row, col, round((2*b-a-c)/(2*b+a+c+1e-10),6) AS value FROM ab WHERE a+b+c IS NOT NULL", _AB)),
     "gli_alpha": (
@@ -310,7 +341,11 @@ REGISTRY = {
     "raster_differences": (raster_differences, DIFFERENCES_SQL),
     "weighted_average": (
         weighted_average,
-        _sql("SELECT row, col, round((2*a+b+0.5*c)/3.5,6) AS value FROM ab WHERE a+b+c IS NOT NULL", _AB),
+        _sql(
+            """SELECT row, col, round((2 * a.value + b.value + 0.5 * c.value) / 3.5, 6) AS value
+FROM near a JOIN near b USING (row, col) JOIN near c USING (row, col) WHERE a.raster_id = 1 AND b.raster_id = 2 AND c.raster_id = 4""",
+            SHIFTED_SQL, _AT_1,
+        ),
     ),
     "adjust_mean": (
         adjust_mean,
