@@ -187,10 +187,15 @@ def file_uri(path: Column) -> Column:
 def natural_key(col: Column) -> Column:
     """Text that sorts as humans expect: digit runs compare as numbers, nulls first."""
     chunks = F.regexp_extract_all(col.cast("string"), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(
-        chunks, lambda c: F.when(c.rlike("^[0-9]"), F.lpad(c, 20, "0")).otherwise(c)
+    # A number's length in front of it, without leading zeros, makes numbers of any length compare as text.
+    bare = lambda c: F.ltrim(c, F.lit("0"))
+    sized = F.transform(
+        chunks,
+        lambda c: F.when(
+            c.rlike("^[0-9]"), F.concat(F.lpad(F.length(bare(c)).cast("string"), 10, "0"), bare(c))
+        ).otherwise(c),
     )
-    return F.coalesce(F.concat(F.lit("1"), F.array_join(padded, "")), F.lit("0"))
+    return F.coalesce(F.concat(F.lit("1"), F.array_join(sized, "")), F.lit("0"))
 
 
 def id_key(col: Column) -> Column:

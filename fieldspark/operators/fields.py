@@ -141,10 +141,11 @@ def copy_attributes(
     fields: Seq[str] | None = None,
     on_conflict: str = "skip",
     key: str | None = None,
+    order: str | None = None,
 ) -> DataFrame:
     """Add the source's fields to the target: empty, or filled by ``key``.
 
-    ``on_conflict`` is ``skip``, ``rename``, ``replace`` or ``error``.
+    Of several source rows of a key the last by ``order`` counts, ties by their values.  ``on_conflict`` is ``skip``, ``rename``, ``replace`` or ``error``.
     """
     wanted = [f for f in source.schema.fields if (fields is None or f.name in fields) and f.name != key]
     names: dict[str, str] = {}
@@ -162,8 +163,11 @@ def copy_attributes(
     if key is None:
         types = {f.name: f.dataType for f in wanted}
         return base.withColumns({n: F.lit(None).cast(types[o]) for o, n in names.items()})
-    side = source.select(key, *[F.col(o).alias(n) for o, n in names.items()])
-    return join_on(base, side.dropDuplicates([key]), [key], "left")
+    given = list(names.values())
+    rank = source[order] if order else F.lit(0)
+    side = source.select(key, rank.alias("_rank"), *[F.col(o).alias(n) for o, n in names.items()])
+    one = side.groupBy(key).agg(F.max_by(F.struct(*given), F.struct("_rank", *given)).alias("_one"))
+    return join_on(base, one.select(key, "_one.*"), [key], "left")
 
 
 def project_outputs(

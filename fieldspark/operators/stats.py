@@ -186,19 +186,19 @@ def distinct_ordered(df: DataFrame, keys: Seq[str], pos: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(pos).alias(pos))
 
 
-def group_by_dir(df: DataFrame, path: str, files_per_row: int = 10_000) -> DataFrame:
-    """Files per directory.  A directory with many files is listed over several rows."""
-    directory = F.regexp_replace(F.col(path), r"/[^/]*$", "")
-    rows = df.select(directory.alias("directory"), F.regexp_extract(path, r"([^/]*)$", 1).alias("_f"))
-    counts = rows.groupBy("directory").agg(F.count(F.lit(1)).alias("file_count"))
-    sized = join_on(rows, counts, ["directory"])
-    parts = F.greatest(F.ceil(F.col("file_count") / files_per_row), F.lit(1))
-    part = F.pmod(F.xxhash64("_f"), parts).alias("part")
-    return sized.groupBy("directory", "file_count", part).agg(
-        F.sort_array(F.collect_list("_f")).alias("files")
+def files_by_dir(df: DataFrame, path: str) -> DataFrame:
+    """A row per file: its directory and its name.  No shuffle, whatever a directory holds."""
+    return df.select(
+        F.regexp_replace(F.col(path), r"/[^/]*$", "").alias("directory"),
+        F.regexp_extract(path, r"([^/]*)$", 1).alias("file"),
     )
 
 
+def group_by_dir(df: DataFrame, path: str) -> DataFrame:
+    """A row per directory with its number of files; `files_by_dir` lists them."""
+    return files_by_dir(df, path).groupBy("directory").agg(F.count(F.lit(1)).alias("file_count"))
+
+
 def visible_columns(df: DataFrame, columns: Seq[str]) -> DataFrame:
     """Whether each metric column has any value that is neither null, "N/A" nor zero."""
 

@@ -11,7 +11,6 @@ from fieldspark.functions import angles, geo
 from fieldspark.functions.text import id_key, track_seconds
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.ordered import Sequence
-from fieldspark.plans.sizing import largest_group
 
 _SORT = ["_k0", "_k1", "_k2", "_ts"]
 
@@ -284,35 +283,29 @@ def points_to_lines(
     y: str = "y",
     min_vertices: int = 2,
     aggs: dict[str, Column] | None = None,
-    max_vertices: int = 100_000,
 ) -> DataFrame:
     """One line per group with its vertices in order and ``aggs`` over its points.
 
-    A group with more than ``max_vertices`` points comes as several rows numbered
-    by ``part``; each part starts with the last vertex of the one before, so the
-    parts join to the whole line.
-    """
+    A line is one value, so a group must fit in one; `line_vertices` gives the same lines at any size as rows."""
     group, order = list(group), list(order)
     pt = geo.point(F.col(x), F.col(y))
-    summary = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("point_count"), *[c.alias(n) for n, c in (aggs or {}).items()]
+    lines = df.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct(*order, pt.alias("_pt")))).alias("_v"),
+        F.count(F.lit(1)).alias("point_count"),
+        *[c.alias(n) for n, c in (aggs or {}).items()],
     )
-    summary = summary.filter(F.col("point_count") >= min_vertices)
-    rows = df.select(*group, *order, pt.alias("_pt"))
-    if largest_group(df, group) <= max_vertices:
-        rows = rows.withColumn("part", F.lit(0))
-    else:
-        seq = Sequence(rows, group, order).number("_rn")
-        part = F.floor((F.col("_rn") - 1) / max_vertices).cast("int")
-        opens = (F.col("_rn") > 1) & ((F.col("_rn") - 1) % max_vertices == 0)
-        rows = seq.result().withColumn(
-            "part", F.explode(F.when(opens, F.array(part - 1, part)).otherwise(F.array(part)))
-        )
-    lines = rows.groupBy(*group, "part").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "_pt"))).alias("_v")
-    )
-    lines = lines.withColumn("geom", F.transform("_v", lambda v: v["_pt"])).drop("_v")
-    return join_on(lines, summary, group)
+    lines = lines.filter(F.col("point_count") >= min_vertices)
+    return lines.withColumn("geom", F.transform("_v", lambda v: v["_pt"])).drop("_v")
+
+
+def line_vertices(
+    df: DataFrame, group: Seq[str], order: Seq[str], x: str = "x", y: str = "y", min_vertices: int = 2
+) -> DataFrame:
+    """The lines of `points_to_lines` as one row per vertex, numbered from 1; a long line spans many tasks."""
+    group = list(group)
+    rows = df.select(*group, *order, F.col(x).alias("x"), F.col(y).alias("y"))
+    d = Sequence(rows, group, list(order)).number("vertex").total("_n", group).result()
+    return d.filter(F.col("_n") >= min_vertices).select(*group, "vertex", "x", "y")
 
 
 def eligible_strip_points(df: DataFrame, shot: str = "shot_id", x: str = "x", y: str = "y") -> DataFrame:
@@ -343,7 +336,6 @@ def strip_lines(
     source: str = "",
     x: str = "x",
     y: str = "y",
-    max_vertices: int = 100_000,
 ) -> DataFrame:
     """One line per strip with its point count and mean azimuth."""
     pts = eligible_strip_points(df, x=x, y=y)
@@ -352,6 +344,4 @@ def strip_lines(
         "azimuth_mean": angles.circular_mean(F.col("azimuth_mean")),
         "source": F.lit(source),
     }
-    return points_to_lines(
-        pts, [*group, "shot_id"], order, x, y, aggs=aggs, max_vertices=max_vertices
-    )
+    return points_to_lines(pts, [*group, "shot_id"], order, x, y, aggs=aggs)

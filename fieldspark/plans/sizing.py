@@ -18,15 +18,16 @@ def group_limit(spark: SparkSession) -> int:
 
 
 def largest_group(df: DataFrame, group: list[str]) -> int:
-    """Rows of the largest group.  The whole row count is tried first: it is free on parquet."""
-    total = df.count()
-    if not group or total <= group_limit(df.sparkSession):
-        return total
+    """Rows of the largest group."""
+    if not group:
+        return df.count()
     return df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
 
 
 def fits_one_task(df: DataFrame, group: list[str]) -> bool:
-    return largest_group(df, group) <= group_limit(df.sparkSession)
+    """Whether every group has few enough rows.  The whole row count is tried first: it is free on parquet."""
+    limit = group_limit(df.sparkSession)
+    return df.count() <= limit or (bool(group) and largest_group(df, group) <= limit)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -58,7 +58,7 @@ def filter_logs_time(spark, sf):
 
 
 def order_logs(spark, sf):
-    d = logs.order_logs(events(spark, sf), "level", "session_id").limit(500)
+    d = logs.order_logs(events(spark, sf), "level", "session_id")
     return d.select("session_id", "level")
 
 
@@ -113,7 +113,7 @@ REGISTRY = {
         order_logs,
         with_sql(
             [EVENTS_SQL],
-            """SELECT session_id, level FROM ev ORDER BY CASE level WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'ERROR' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 99 END, session_id LIMIT 500""",
+            """SELECT session_id, level FROM ev ORDER BY CASE level WHEN 'DEBUG' THEN 0 WHEN 'INFO' THEN 1 WHEN 'WARNING' THEN 2 WHEN 'ERROR' THEN 3 WHEN 'CRITICAL' THEN 4 ELSE 99 END, session_id""",
         ),
     ),
     "log_values": (log_values, with_sql([EVENTS_SQL], "SELECT DISTINCT tool FROM ev")),

@@ -208,8 +208,12 @@ def backfill(spark, sf):
         F.col("o_custkey").alias("c_custkey"),
         F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderstatus")).alias("name"),
     )
-    src = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"))
-    return relate.backfill(left, src, ["c_custkey"])
+    c = table(spark, sf, "customer")
+    # Two source rows for each key, in an order that their values do not have.
+    src = c.select("c_custkey", F.col("c_name").alias("name"), F.lit(2).alias("pos")).unionByName(
+        c.select("c_custkey", F.concat(F.lit("z"), F.col("c_name")).alias("name"), F.lit(1).alias("pos"))
+    )
+    return relate.backfill(left, src, ["c_custkey"], order="pos")
 
 
 BACKFILL_SQL = """SELECT o_orderkey, o_custkey AS c_custkey, coalesce(nullif(
@@ -295,12 +299,15 @@ UNION ALL SELECT 'zeros', false UNION ALL SELECT 'nulls', false"""
 
 
 def group_by_dir(spark, sf):
-    d = stats.group_by_dir(table(spark, sf, "pages"), "url")
-    return d.groupBy("directory", "file_count").agg(F.sum(F.size("files")).alias("listed"))
+    return stats.group_by_dir(table(spark, sf, "pages"), "url")
+
+
+def files_by_dir(spark, sf):
+    return stats.files_by_dir(table(spark, sf, "pages"), "url")
 
 
-DIR_SQL = """SELECT regexp_replace(url, '/[^/]*$', '') AS directory, count(*) AS file_count, count(*) AS listed
-FROM pages GROUP BY 1"""
+DIR_SQL = "SELECT regexp_replace(url, '/[^/]*$', '') AS directory, count(*) AS file_count FROM pages GROUP BY 1"
+FILES_SQL = "SELECT regexp_replace(url, '/[^/]*$', '') AS directory, regexp_extract(url, '([^/]*)$', 1) AS file FROM pages"
 
 
 def update_by_map(spark, sf):
@@ -428,11 +435,14 @@ CLEANUP_SQL = r"""SELECT doc_id, CASE WHEN length(text) > 100 THEN replace(text[
 
 
 def natural_order(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("A"), F.col("p_partkey")).alias("name"))
+    """Names with one and with two runs of digits, one of them longer than any number type."""
+    name = F.concat(F.lit("A"), F.col("p_partkey"), F.lit("x"), F.repeat(F.lit("7"), 30), F.col("p_size"))
+    p = table(spark, sf, "part").select("p_partkey", name.alias("name"))
     return p.select("p_partkey", text.natural_key(F.col("name")).alias("sort_key"))
 
 
-NATURAL_SQL = "SELECT p_partkey, '1A' || lpad(CAST(p_partkey AS VARCHAR), 20, '0') AS sort_key FROM part"
+NATURAL_SQL = """SELECT p_partkey, '1A' || printf('%010d', length(a)) || a || 'x' || printf('%010d', length(b)) || b AS sort_key
+FROM (SELECT p_partkey, ltrim(CAST(p_partkey AS VARCHAR), '0') AS a, repeat('7', 30) || p_size AS b FROM part)"""
 
 
 def dms_to_decimal(spark, sf):
@@ -526,6 +536,7 @@ FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""",
     "distinct_values": (distinct_values, "SELECT DISTINCT event_type FROM events"),
     "visible_columns": (visible_columns, VISIBLE_SQL),
     "group_by_dir": (group_by_dir, DIR_SQL),
+    "files_by_dir": (files_by_dir, FILES_SQL),
     "update_by_map": (
         update_by_map,
         "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders",

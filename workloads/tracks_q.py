@@ -109,6 +109,11 @@ def points_to_lines(spark, sf):
     )
 
 
+def line_vertices(spark, sf):
+    d = tracks.line_vertices(track_points(spark, sf), ["grp"], ["ts", "fid"])
+    return d.select("grp", "vertex", "x", "y")
+
+
 LINES_SQL = with_sql(
     [TRACK_SQL, _arrive("track", "ts, fid", _TS)],
     """SELECT grp, count(*) AS point_count, CAST(count(*) AS INTEGER) AS vertices, round(sum(dd),4) AS length,
@@ -223,6 +228,13 @@ REGISTRY = {
     "segment_strips": (strips, STRIPS_SQL),
     "segment_strips_smooth": (strips_smooth, SMOOTH_STRIPS_SQL),
     "points_to_lines": (points_to_lines, LINES_SQL),
+    "line_vertices": (
+        line_vertices,
+        with_sql(
+            [TRACK_SQL, _arrive("track", "ts, fid", _TS)],
+            "SELECT grp, i AS vertex, x, y FROM arr WHERE (SELECT count(*) FROM arr b WHERE b.grp = arr.grp) >= 2",
+        ),
+    ),
     "strip_lines": (strip_lines, STRIP_LINES_SQL),
     "strip_point_counts": (strip_point_counts, STRIP_COUNTS_SQL),
     "axial_smooth": (axial_smooth, SMOOTHED_SQL),
