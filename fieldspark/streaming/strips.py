@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "vehicle string, fid bigint, ts double, shot bigint, brk boolean"
-STATE = "points string, shot bigint, last double"
+STATE = "points string, shot bigint, newest double"
 
 
 def _azimuth(p: list, q: list) -> float:
@@ -50,36 +50,41 @@ def stream_strips(
     """Strip number of every point of a stream (vehicle, fid, event_time, ts, x, y).
 
     A point comes out once ``window`` later points are known, so output lags by
-    that many points; the rest comes out when a vehicle falls silent.  Points
-    older than the last one given out are late and dropped.
+    that many points; the rest comes out when a vehicle falls silent, and what it
+    sends afterwards begins the next strip.  Only the watermark makes a point late:
+    one that belongs before points already given out joins the strip of the point
+    before it.
     """
     keep = window + 1
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Points are [ts, fid, x, y, strip], strip 0 for those that still wait.
         stored = state.getOption or ("[]", 1, float("-inf"))
-        buffer, shot, last = json.loads(stored[0]), int(stored[1]), float(stored[2])
+        buffer, shot, newest = json.loads(stored[0]), int(stored[1]), float(stored[2])
         history = [p for p in buffer if p[4]]
-        waiting = [p for p in buffer if not p[4]]
+        waiting, out = [p for p in buffer if not p[4]], []
+        last = (history[-1][0], history[-1][1]) if history else (float("-inf"), 0)
         for pdf in parts:
             for r in pdf.itertuples(index=False):
-                if r.ts > last:
-                    waiting.append([float(r.ts), int(r.fid), float(r.x), float(r.y), False])
+                p = [float(r.ts), int(r.fid), float(r.x), float(r.y), 0]
+                newest = max(newest, p[0])
+                if (p[0], p[1]) > last:
+                    waiting.append(p)
+                else:
+                    before = [h for h in history if (h[0], h[1]) < (p[0], p[1])]
+                    out.append((key[0], p[1], p[0], (before or history[:1])[-1][4], False))
         waiting.sort(key=lambda p: (p[0], p[1]))
         line = history + waiting
         until = len(line) if state.hasTimedOut else max(len(history), len(line) - window)
-        out = []
         for i in range(len(history), until):
             brk = _breaks(line, i, window, severe, max_distance)
             shot += brk
-            line[i][4] = True
-            last = line[i][0]
+            line[i][4] = shot
             out.append((key[0], line[i][1], line[i][0], shot, brk))
         if state.hasTimedOut:
-            state.remove()
+            state.update(("[]", shot + (len(line) > 0), newest))
         else:
-            first = max(0, until - keep)
-            state.update((json.dumps(line[first:]), shot, last))
-            newest = max((p[0] for p in line), default=0.0)
+            state.update((json.dumps(line[max(0, until - keep) :]), shot, newest))
             due = int((newest + idle_seconds) * 1000)
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["vehicle", "fid", "ts", "shot", "brk"])

@@ -62,3 +62,28 @@ def test_strips_stream(spark, tmp_path):
     whole = segment_strips(df, ["vehicle"], ts="ts", min_points=1)
     want = {r.fid: r.old_shot_id for r in whole.collect()}
     assert len(got) >= 56 and all(want[k] == v for k, v in got.items())
+
+
+def test_strips_stream_ties_and_pauses(spark, tmp_path):
+    """Points of one time in two batches, an early one that comes late, and a pause: no point is lost, no number repeats."""
+    src = str(tmp_path / "in")
+    schema = "vehicle string, fid long, ts double, x double, y double, event_time timestamp"
+
+    def send(rows, vehicle="v"):
+        df = spark.createDataFrame([(vehicle, f, 1000.0 + t, x, 0.0) for f, t, x in rows], "vehicle string, fid long, ts double, x double, y double")
+        df.withColumn("event_time", F.timestamp_seconds("ts")).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        q = stream_strips(stream, delay="5 seconds", idle_seconds=20).writeStream.format("parquet").outputMode("append")
+        q = q.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        q.trigger(availableNow=True).start().awaitTermination(60)
+
+    send([(i, i // 2, 5.0 * i) for i in range(9)])
+    send([(100, 3, 37.0), (9, 4, 45.0), (10, 5, 50.0), (11, 6, 55.0)])
+    send([(900, 200, 0.0)], "other")
+    send([(200, 500, 0.0), (201, 501, 5.0), (202, 502, 10.0), (203, 503, 15.0)])
+    send([(901, 2000, 0.0)], "other")
+    send([(902, 4000, 0.0)], "other")
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    got = {r.fid: r.shot for r in rows}
+    assert len(got) == len(rows) and set(got) >= {*range(12), 100, *range(200, 204)}
+    assert {got[i] for i in (*range(12), 100)} == {1} and {got[i] for i in range(200, 204)} == {2}
