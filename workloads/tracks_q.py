@@ -203,13 +203,44 @@ TIME_SCORE_SQL = with_sql(
 )
 
 def strips_score(spark, sf):
-    """Voting method; decided row by row, so there is no SQL."""
+    """Voting method."""
     from fieldspark.operators.strip_scans import segment_strips_score
 
     d = segment_strips_score(smooth_points(spark, sf), ["grp"], id_col="fid", min_points=20)
     return d.select(*_STRIP_COLUMNS, "score")
 
 
+# One row after the other: votes on the row, votes on the next three, rows since the strip began.
+_LEAVES = "CASE WHEN p.az IS NOT NULL AND p.a{k} IS NOT NULL AND abs((p.a{k} - base + 540 + 360) % 360 - 180) >= 15 THEN CASE WHEN since1 = 1 THEN 2 ELSE 1 END ELSE 0 END"
+SCORE_SQL = with_sql(
+    [
+        SMOOTH_SQL,
+        _arrive("smooth", "fid", "0"),
+        _INSTANT,
+        """pre AS (SELECT *, lead(az, 1) OVER w AS a1, lead(az, 2) OVER w AS a2, lead(az, 3) OVER w AS a3,
+ sin(radians(az)) AS s0, cos(radians(az)) AS c0, coalesce(lag(sin(radians(az)), 1) OVER w, 0) AS s1, coalesce(lag(cos(radians(az)), 1) OVER w, 0) AS c1,
+ coalesce(lag(sin(radians(az)), 2) OVER w, 0) AS s2, coalesce(lag(cos(radians(az)), 2) OVER w, 0) AS c2
+ FROM delta WINDOW w AS (PARTITION BY grp ORDER BY i))""",
+        f"""run AS (SELECT grp, i, fid, 0 AS votes, 0 AS v1, 0 AS v2, 0 AS v3, 0 AS since, 0 AS brk, 'start' AS kind FROM pre WHERE i = 1
+ UNION ALL SELECT grp, i, fid, votes, CASE WHEN brk = 1 THEN 0 WHEN last THEN w1 ELSE w1 + l1 END, CASE WHEN brk = 1 THEN 0 WHEN last THEN w2 ELSE w2 + l2 END,
+ CASE WHEN brk = 1 OR last THEN 0 ELSE l3 END, CASE WHEN brk = 1 THEN 0 ELSE since1 END, brk,
+ CASE WHEN brk = 1 THEN 'break_direction' WHEN last THEN 'end' WHEN since1 = 1 THEN 'second' WHEN votes >= 3 THEN 'outlier' ELSE 'noisy' END
+ FROM (SELECT *, {_LEAVES.format(k=1)} AS l1, {_LEAVES.format(k=2)} AS l2, {_LEAVES.format(k=3)} AS l3 FROM
+ (SELECT pre.*, r.v1 AS votes, r.v2 AS w1, r.v3 AS w2, r.since + 1 AS since1, nxt IS NULL AS last,
+ CASE WHEN r.v1 >= 3 AND NOT (r.v2 = 0 AND r.votes = 0) THEN 1 ELSE 0 END AS brk,
+ degrees(atan2(s0 + CASE WHEN r.since >= 1 THEN s1 ELSE 0 END + CASE WHEN r.since >= 2 THEN s2 ELSE 0 END,
+  c0 + CASE WHEN r.since >= 1 THEN c1 ELSE 0 END + CASE WHEN r.since >= 2 THEN c2 ELSE 0 END)) AS base
+ FROM run r JOIN pre ON pre.grp = r.grp AND pre.i = r.i + 1) p))""",
+        "shot AS (SELECT run.*, 1 + CAST(sum(brk) OVER (PARTITION BY grp ORDER BY i) AS BIGINT) AS s FROM run)",
+        "sized AS (SELECT shot.*, az, azn, count(*) OVER (PARTITION BY shot.grp, s) AS n FROM shot JOIN delta USING (grp, i))",
+    ],
+    """SELECT fid, CASE WHEN n >= 20 THEN CAST(s AS VARCHAR) ELSE '0' END AS shot_id, CAST(s AS VARCHAR) AS old_shot_id,
+ CASE WHEN kind IN ('start', 'break_direction', 'end', 'second') THEN kind WHEN n < 20 THEN 'outlier' WHEN t IS NULL OR t < 5 THEN 'straight'
+ WHEN t < 15 THEN 'smooth_turn' WHEN t < 45 THEN 'sharp_turn' WHEN votes > 0 THEN 'zigzag' ELSE 'noisy' END AS seg_type, votes AS score
+FROM (SELECT *, least(abs(az - azn) % 360, 360 - abs(az - azn) % 360) AS t FROM sized)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def strips_full(spark, sf):
     """Full method; decided row by row, so there is no SQL."""
     from fieldspark.operators.strip_scans import StripSettings, segment_strips_full
@@ -221,7 +252,7 @@ def strips_full(spark, sf):
 
 
 REGISTRY = {
-    "segment_strips_score": (strips_score, None),
+    "segment_strips_score": (strips_score, SCORE_SQL),
     "segment_strips_full": (strips_full, None),
     "segment_metrics": (segment_metrics, METRICS_SQL),
     "instant_azimuth": (instant_azimuth, INSTANT_SQL),
