@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -9,32 +10,34 @@ from pyspark.sql import functions as F
 
 # Canonical field names.
 FIELDS = (
-    "File Path Format SizeMb GPSMapDatum Model Software XResolution YResolution ShutterSpeedValue "
-    "DateTimeOriginal ApertureValue MaxApertureValue LightSource FocalLength ExifImageWidth "
-    "ExifImageHeight ExposureTime FNumber ExposureProgram ISOSpeedRatings ExposureMode "
-    "LensSpecification DigitalZoomRatio GpsStatusExif GpsStatusXmp GpsLatitudeRef GpsLongitudeRef "
-    "GpsVersionId GpsAltitudeRef GpsAltitude AltitudeType GpsLatitude GpsLongitude GpsLatitudeXmp "
-    "GpsLongitudeXmp AbsoluteAltitude RelativeAltitude GimbalRollDegree GimbalYawDegree "
-    "GimbalPitchDegree FlightRollDegree FlightYawDegree FlightPitchDegree FlightXSpeed FlightYSpeed "
-    "FlightZSpeed RtkFlag RtkStdLon RtkStdLat RtkStdHgt RtkDiffAge DewarpFlag UTCAtExposure "
-    "ShutterCount FocusDistance CameraSerialNumber DroneModel DroneSerialNumber CaptureUUID "
-    "PictureQuality SegmentosTotal SensorTemperature LRFStatus LRFTargetDistance LRFTargetLon "
-    "LRFTargetLat LRFTargetAlt LRFTargetAbsAlt WhiteBalanceCCT SensorFPS RecommendedExposureIndex "
-    "LensPosition LensTemperature ExifSharpness ExifContrast ExifSaturation ExifFlashPixVersion "
-    "ExifColorSpace CoordSource QualityFlag DewarpDate DewarpFocalX DewarpFocalY DewarpCx DewarpCy "
-    "DewarpK1 DewarpK2 DewarpK3 DewarpP1 DewarpP2 XDifference YDifference ZDifference XYDifference "
-    "Directory YawRelativeError Nadir 3DDifference FileType DtFull DtDate DtTime FlightNumber "
-    "FlightName FolderLevel1 FolderLevel2 FolderLevel3 FolderLevel4 FolderLevel5 GimbalOffset "
-    "3DSpeed TimeSincePrevious GeodesicDistancePrevious Distance3dPrevious AvgVelocityBetweenPhotos "
-    "LinearVelocityInstant DisplacementDirection IncidenceAngle EstimatedCoverage CoverageWidth "
-    "CoverageHeight PredictedOverlap FOverlap RtkEffectivePrecision RtkType IsIdealOverlap "
-    "AbruptChangeFlag GimbalAngularVelocity OrthorectificationPotential ShutterLifePct "
-    "GroundSampleDistanceCm TotalHeatIndex Speed3dKmh YawAlignmentError MotionBlurRisk "
-    "ExposureValueEv LightSourceClassification LightConsistency VerticalStability "
-    "TrajectorySmoothness SpeedVariationIndex RtkStabilityScore CaptureEfficiency GroundElevation "
-    "PhotogrammetryQualityIndex StripId EvClassification FlightAltitude FOV CircleOfConfusion DOF "
-    "HyperfocalDistance LightValue FocalLength35efl Foto Lat Lon Alt DateName MrkFile MrkPath MrkFolder"
-).split()
+    "File", "Path", "Format", "SizeMb", "GPSMapDatum", "Model", "Software", "XResolution", "YResolution",
+    "ShutterSpeedValue", "DateTimeOriginal", "ApertureValue", "MaxApertureValue", "LightSource", "FocalLength",
+    "ExifImageWidth", "ExifImageHeight", "ExposureTime", "FNumber", "ExposureProgram", "ISOSpeedRatings",
+    "ExposureMode", "LensSpecification", "DigitalZoomRatio", "GpsStatusExif", "GpsStatusXmp", "GpsLatitudeRef",
+    "GpsLongitudeRef", "GpsVersionId", "GpsAltitudeRef", "GpsAltitude", "AltitudeType", "GpsLatitude",
+    "GpsLongitude", "GpsLatitudeXmp", "GpsLongitudeXmp", "AbsoluteAltitude", "RelativeAltitude", "GimbalRollDegree",
+    "GimbalYawDegree", "GimbalPitchDegree", "FlightRollDegree", "FlightYawDegree", "FlightPitchDegree",
+    "FlightXSpeed", "FlightYSpeed", "FlightZSpeed", "RtkFlag", "RtkStdLon", "RtkStdLat", "RtkStdHgt", "RtkDiffAge",
+    "DewarpFlag", "UTCAtExposure", "ShutterCount", "FocusDistance", "CameraSerialNumber", "DroneModel",
+    "DroneSerialNumber", "CaptureUUID", "PictureQuality", "SegmentosTotal", "SensorTemperature", "LRFStatus",
+    "LRFTargetDistance", "LRFTargetLon", "LRFTargetLat", "LRFTargetAlt", "LRFTargetAbsAlt", "WhiteBalanceCCT",
+    "SensorFPS", "RecommendedExposureIndex", "LensPosition", "LensTemperature", "ExifSharpness", "ExifContrast",
+    "ExifSaturation", "ExifFlashPixVersion", "ExifColorSpace", "CoordSource", "QualityFlag", "DewarpDate",
+    "DewarpFocalX", "DewarpFocalY", "DewarpCx", "DewarpCy", "DewarpK1", "DewarpK2", "DewarpK3", "DewarpP1",
+    "DewarpP2", "XDifference", "YDifference", "ZDifference", "XYDifference", "Directory", "YawRelativeError",
+    "Nadir", "3DDifference", "FileType", "DtFull", "DtDate", "DtTime", "FlightNumber", "FlightName", "FolderLevel1",
+    "FolderLevel2", "FolderLevel3", "FolderLevel4", "FolderLevel5", "GimbalOffset", "3DSpeed", "TimeSincePrevious",
+    "GeodesicDistancePrevious", "Distance3dPrevious", "AvgVelocityBetweenPhotos", "LinearVelocityInstant",
+    "DisplacementDirection", "IncidenceAngle", "EstimatedCoverage", "CoverageWidth", "CoverageHeight",
+    "PredictedOverlap", "FOverlap", "RtkEffectivePrecision", "RtkType", "IsIdealOverlap", "AbruptChangeFlag",
+    "GimbalAngularVelocity", "OrthorectificationPotential", "ShutterLifePct", "GroundSampleDistanceCm",
+    "TotalHeatIndex", "Speed3dKmh", "YawAlignmentError", "MotionBlurRisk", "ExposureValueEv",
+    "LightSourceClassification", "LightConsistency", "VerticalStability", "TrajectorySmoothness",
+    "SpeedVariationIndex", "RtkStabilityScore", "CaptureEfficiency", "GroundElevation",
+    "PhotogrammetryQualityIndex", "StripId", "EvClassification", "FlightAltitude", "FOV", "CircleOfConfusion",
+    "DOF", "HyperfocalDistance", "LightValue", "FocalLength35efl", "Foto", "Lat", "Lon", "Alt", "DateName",
+    "MrkFile", "MrkPath", "MrkFolder",
+)
 
 # Namespace prefixes and other spellings of field names.
 PREFIXES = ("xmp:", "drone-dji:", "crs:", "tiff:", "rdf:", "EXIF:", "GPS:")
@@ -126,6 +129,7 @@ DERIVED_LABELS = {
     "Alt": "Altitude",
     "FlightNumber": "Flight Number",
 }
+# Labels and words of fields that are never averaged.
 IGNORED_LABELS = (
     "Abrupt Change Flag",
     "Avg Velocity Between Photos",
@@ -209,6 +213,7 @@ LIGHT_RANGES = {
     23: (4900, 5100),
     24: (3000, 3300),
 }
+# Report names of light sources.
 LIGHT_LABELS_PT = {
     "Unknown": "Desconhecida",
     "Daylight": "Luz do dia",
@@ -242,28 +247,17 @@ EV_CLASSES = (
 )
 
 
-def pascal(name: str) -> str:
-    parts = [p for p in name.replace(" ", "_").replace("-", "_").split("_") if p]
-    return "".join(p[0].upper() + p[1:] for p in parts) if parts else name
-
-
 _BY_LOWER = {f.lower(): f for f in FIELDS}
+# Where a spelling is looked up, in this order: as it is, without its prefix, and with its words joined.
+_LOOKUPS = ((XMP_ALIASES, "raw"), (ALIASES, "bare"), (_BY_LOWER, "bare"), (_BY_LOWER, "joined"))
+_PREFIX = "^(" + "|".join(PREFIXES) + ")"
 
 
 def canonical_name(raw: str) -> str | None:
     """Canonical spelling of a field name, None for a name outside the catalogue."""
-    name = (raw or "").strip()
-    if name.lower() in XMP_ALIASES:
-        return XMP_ALIASES[name.lower()]
-    for prefix in PREFIXES:
-        if name.startswith(prefix):
-            name = name[len(prefix) :]
-            break
-    if name.lower() in ALIASES:
-        return ALIASES[name.lower()]
-    if name in FIELDS:
-        return name
-    return _BY_LOWER.get(name.lower()) or _BY_LOWER.get(pascal(name).lower())
+    bare = re.sub(_PREFIX, "", (raw or "").strip())
+    forms = {"raw": (raw or "").strip(), "bare": bare, "joined": re.sub("[ _-]", "", bare)}
+    return next((names[forms[f].lower()] for names, f in _LOOKUPS if forms[f].lower() in names), None)
 
 
 def literal_map(mapping: dict, key_type: str, value_type: str) -> Column:
@@ -273,16 +267,10 @@ def literal_map(mapping: dict, key_type: str, value_type: str) -> Column:
 
 def canonical_key(key: Column) -> Column:
     """``canonical_name`` as a column expression, for the keys of attribute maps."""
-    raw = F.trim(key)
-    stripped = F.regexp_replace(raw, "^(" + "|".join(PREFIXES) + ")", "")
-    words = F.filter(F.split(F.regexp_replace(stripped, "[ -]", "_"), "_"), lambda w: w != "")
-    joined = F.lower(F.array_join(words, ""))
-    names = literal_map(_BY_LOWER, "string", "string")
+    bare = F.regexp_replace(F.trim(key), _PREFIX, "")
+    forms = {"raw": F.trim(key), "bare": bare, "joined": F.regexp_replace(bare, "[ _-]", "")}
     return F.coalesce(
-        F.try_element_at(literal_map(XMP_ALIASES, "string", "string"), F.lower(raw)),
-        F.try_element_at(literal_map(ALIASES, "string", "string"), F.lower(stripped)),
-        F.try_element_at(names, F.lower(stripped)),
-        F.try_element_at(names, joined),
+        *[F.try_element_at(literal_map(names, "string", "string"), F.lower(forms[f])) for names, f in _LOOKUPS]
     )
 
 

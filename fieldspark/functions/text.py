@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Spellings of missing and infinite numbers.
 _MISSING = ("", "none", "null", "nan")
 _POS_INF = ("inf", "+inf", "infinity", "+infinity", "float('inf')", 'float("inf")')
 _NEG_INF = ("-inf", "-infinity", "float('-inf')", 'float("-inf")')

@@ -74,12 +74,13 @@ def finite_field(df: DataFrame, *names: str) -> Column:
 _NUMBERS = ("double", "float", "bigint", "int", "smallint", "tinyint")
 # Fields that are numbers wherever they are read.
 NUMERIC_FIELDS = (
-    "GpsLatitude GpsLongitude GpsLatitudeXmp GpsLongitudeXmp Lat Lon Alt AbsoluteAltitude RelativeAltitude "
-    "GimbalYawDegree GimbalPitchDegree GimbalRollDegree FlightYawDegree FlightPitchDegree FlightRollDegree "
-    "FlightXSpeed FlightYSpeed FlightZSpeed XSpeed YSpeed ZSpeed ExposureTime FNumber FocalLength "
-    "ISOSpeedRatings FocusDistance ExifImageWidth ExifImageHeight LRFTargetDistance LRFTargetLat LRFTargetLon "
-    "RtkStdLon RtkStdLat RtkStdHgt RtkDiffAge SensorTemperature LensTemperature ShutterCount SizeMb WhiteBalanceCCT"
-).split()
+    "GpsLatitude", "GpsLongitude", "GpsLatitudeXmp", "GpsLongitudeXmp", "Lat", "Lon", "Alt", "AbsoluteAltitude",
+    "RelativeAltitude", "GimbalYawDegree", "GimbalPitchDegree", "GimbalRollDegree", "FlightYawDegree",
+    "FlightPitchDegree", "FlightRollDegree", "FlightXSpeed", "FlightYSpeed", "FlightZSpeed", "XSpeed", "YSpeed",
+    "ZSpeed", "ExposureTime", "FNumber", "FocalLength", "ISOSpeedRatings", "FocusDistance", "ExifImageWidth",
+    "ExifImageHeight", "LRFTargetDistance", "LRFTargetLat", "LRFTargetLon", "RtkStdLon", "RtkStdLat", "RtkStdHgt",
+    "RtkDiffAge", "SensorTemperature", "LensTemperature", "ShutterCount", "SizeMb", "WhiteBalanceCCT",
+)
 
 
 def with_numbers(df: DataFrame, fields: Seq[str] = NUMERIC_FIELDS) -> DataFrame:

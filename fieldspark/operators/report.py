@@ -184,7 +184,7 @@ def derived_values(df: DataFrame) -> dict[str, Column]:
     }
 
 
-# Derived value -> record field it stands in for when the record has none.
+# Derived value -> record field it stands in for when the record has none.
 FALLBACK_FIELDS = {
     "3DSpeed": "speed_3d_ms",
     "Speed3dKmh": "speed_3d_kmh",
@@ -220,7 +220,7 @@ FALLBACK_FIELDS = {
     "OrthorectificationPotential": "orthorectification_potential",
     "LinearVelocityInstant": "speed_3d_ms",
 }
-# Indicators read straight from the record.
+# Indicators read straight from the record.
 RECORD_INDICATORS = {
     "rtk_std_lon": "RtkStdLon",
     "rtk_std_lat": "RtkStdLat",
