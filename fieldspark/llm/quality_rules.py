@@ -16,11 +16,12 @@ from fieldspark.llm.common import NOT_SPACE, let
 
 #: Frequent words of English, French, German and Spanish.
 STOP_WORDS = (
-    "a an and are as at be by for from in is it of on or that the this to was with "
-    "au aux ce dans de des elle en est et la le les ne pas pour que qui sur un une "
-    "auf das dem den der die ein eine für im ist mit nicht sich und von zu "
-    "al con del el las lo los no para por se su una y"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that",
+    "the", "this", "to", "was", "with", "au", "aux", "ce", "dans", "de", "des", "elle", "en", "est", "et", "la",
+    "le", "les", "ne", "pas", "pour", "que", "qui", "sur", "un", "une", "auf", "das", "dem", "den", "der", "die",
+    "ein", "eine", "für", "im", "ist", "mit", "nicht", "sich", "und", "von", "zu", "al", "con", "del", "el", "las",
+    "lo", "los", "no", "para", "por", "se", "su", "una", "y",
+)
 
 #: A word's place in its text takes the low bits of a sort key, its window's hash the rest.
 PLACE_BITS = 28
