@@ -50,9 +50,9 @@ def document_groups(df: DataFrame) -> DataFrame:
     folder = F.coalesce(raw(df, "MrkFolder"), path_folder, F.lit(""))
     d = df.withColumn("_folder", folder)
     return d.groupBy(F.col("_folder").alias("folder")).agg(
-        F.first(raw(df, "MrkFile"), True).alias("MrkFile"),
-        F.first(raw(df, "FlightName"), True).alias("FlightName"),
-        F.first(raw(df, "FlightNumber"), True).alias("FlightNumber"),
+        F.min(raw(df, "MrkFile")).alias("MrkFile"),
+        F.min(raw(df, "FlightName")).alias("FlightName"),
+        F.min(raw(df, "FlightNumber")).alias("FlightNumber"),
         F.count(F.lit(1)).alias("points_count"),
         F.count(F.lit(1)).alias("indexed_count"),
     )
@@ -60,7 +60,8 @@ def document_groups(df: DataFrame) -> DataFrame:
 
 def _file_key(df: DataFrame) -> Column:
     foto = F.concat(F.lit("foto_"), raw(df, "Foto"))
-    number = F.concat(F.lit("record_"), F.monotonically_increasing_id().cast("string"))
+    # A name of the record's own values, the same in every run.
+    number = F.concat(F.lit("record_"), F.hex(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])))
     return F.coalesce(raw(df, "File"), foto, number)
 
 
@@ -71,13 +72,11 @@ def write_photo_docs(
     tool_key: str = "",
     base_folder: str = "",
     generated_at: str = "",
-    records_per_document: int = 50_000,
 ) -> None:
-    """Write documents that ``read_photo_docs`` reads back.
+    """Write documents that ``read_photo_docs`` reads back, one per record and line.
 
-    A folder with more records than ``records_per_document`` is spread over
-    several documents, so no task holds an unbounded folder.  Each document
-    carries the quality counters of the whole set.
+    No task holds a folder, whatever its size.  Each document carries its folder's counts and the quality
+    counters of the whole set.
     """
     path_folder = F.regexp_replace(raw(df, "Path"), r"[/\\][^/\\]*$", "")
     folder = F.coalesce(raw(df, "MrkFolder"), path_folder, F.lit(""))
@@ -87,12 +86,7 @@ def write_photo_docs(
     )
     rows = df.select(folder.alias("folder"), _file_key(df).alias("file"), fields.alias("record"))
     groups = document_groups(df)
-    sized = join_on(rows, groups, ["folder"])
-    parts = F.greatest(F.ceil(F.col("points_count") / records_per_document), F.lit(1))
-    part = F.pmod(F.xxhash64("file"), parts).alias("part")
-    docs = sized.groupBy("folder", "MrkFile", "FlightName", "FlightNumber", "points_count", "indexed_count", part).agg(
-        F.map_from_entries(F.collect_list(F.struct("file", "record"))).alias("records")
-    )
+    docs = join_on(rows, groups, ["folder"]).withColumn("records", F.create_map("file", "record"))
     group = F.struct("MrkFile", "FlightName", "FlightNumber", "points_count", "indexed_count", "records")
     quality = doc_quality(df)
     out = docs.crossJoin(F.broadcast(quality.select(F.struct("*").alias("quality"))))  # one row

@@ -41,7 +41,7 @@ def test_documents_round_trip(spark, tmp_path):
         "File string, Path string, Lat string, Strange string",
     )
     out = str(tmp_path / "docs")
-    photo_docs.write_photo_docs(df, out, records_per_document=1)
+    photo_docs.write_photo_docs(df, out)
     back = {r.file: r for r in photo_docs.read_photo_docs(spark, out, lines=True).collect()}
     assert set(back) == {"a.JPG", "b.JPG", "c.JPG"}
     assert back["a.JPG"].Lat == "1.5" and back["a.JPG"].extras == {"Strange": "odd"} and back["a.JPG"].folder == "/p/f1"
