@@ -99,7 +99,7 @@ def metrics(text: str = "text") -> dict[str, Column]:
             long(F.size(w)).alias("n_words"),
             long(F.length(F.array_join(w, ""))).alias("word_chars"),
             _repeated_places(w).alias("n_repeat_words"),
-            long(F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS)))).alias("n_stop_words"),
+            long(F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS)))).alias("n_stop_words"),
         )
 
     def of_lines(x):
