@@ -35,20 +35,21 @@ def pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         for batch in batches:
             rows = []
-            for doc_id, t in zip(batch["doc_id"].tolist(), batch["t"], strict=True):
-                data = encoder.encode(t) + end
+            for doc_id, own in zip(batch["doc_id"].tolist(), encoder.encode_all(batch["t"]), strict=True):
+                data = own + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     own = data[at : at + 4 * capacity]
                     rows.append((doc_id, k, at // 4, len(own) // 4, zlib.crc32(own), own if ids else None))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if ids else out.drop(columns="ids")
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).alias("t")).mapInPandas(cut, schema)
+    # Ids travel as text: pandas would turn long numbers beside nulls into floats.
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids binary" if ids else "")
+    rows = docs.select(F.col("doc_id").cast("string"), F.col(text).alias("t")).mapInPandas(cut, schema)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
@@ -166,19 +167,18 @@ def pack(rows: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFra
     layout = plan(counts, capacity).sort_values(["length", "first"])
     shipped = rows.sparkSession.sparkContext.broadcast({k: layout[k].to_numpy(np.int64) for k in layout})
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         p = shipped.value
-        keys = (p["length"] << 48) + p["first"]
-        for b in batches:
-            length, rank = b["length"].to_numpy(np.int64), b.pop("__rank").to_numpy(np.int64)
-            at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
-            k = rank - p["first"][at] if len(b) else rank
-            b["sequence_id"] = p["base"][at] + k // p["copies"][at] if len(b) else rank
-            b["offset"] = p["offset"][at] + k % p["copies"][at] * length if len(b) else rank
-            yield b
-
-    names = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return numbered.select(*rows.columns, "__rank").mapInPandas(place, f"{names}, sequence_id long, offset long")
+        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        if not len(rank):
+            return pd.DataFrame({"sequence_id": rank, "offset": rank})
+        at = np.searchsorted((p["length"] << 48) + p["first"], (length << 48) + rank, side="right") - 1
+        k, copies = rank - p["first"][at], p["copies"][at]
+        return pd.DataFrame({"sequence_id": p["base"][at] + k // copies, "offset": p["offset"][at] + k % copies * length})
+
+    placed = numbered.select(*rows.columns, place(F.col("length").cast("long"), "__rank").alias("__at"))
+    return placed.select(*rows.columns, "__at.sequence_id", "__at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

@@ -1,63 +1,91 @@
-"""Ids of whole texts by the tokenizers library, with the ids of chunks that no merge crosses kept in memory.
+"""Ids of whole texts by the tokenizers library, with the ids of pieces that no merge crosses kept in memory.
 
-Both vocabularies split a text by a pattern before any merge, so the ids of a text are those of its chunks one after
-the other.  A chunk is encoded by the library once and its ids are reused; a text with characters for which the
-chunks are not certain (outside Latin letters, odd white space, special tokens) is encoded by the library as a whole.
+The vocabularies split a text by a pattern before any merge, so the ids of a text are those of its pieces one after
+the other.  A piece is encoded by the library once, and its ids are reused; a text with characters for which the
+pieces are not certain (outside Latin letters, odd white space, special tokens) is encoded by the library as a whole.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
+from collections.abc import Iterator
 
-#: Chunks a task keeps.
-KEPT_CHUNKS = 400_000
+import numpy as np
+import regex
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
+
+#: Pieces a worker keeps, and characters of texts that are looked up together.
+KEPT_PIECES, BATCH_CHARS = 600_000, 1 << 20
 #: Only such characters have the same classes in Python's and in the tokenizers' patterns for sure.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ž]*")
 _SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Fixed value: the pattern of byte-level vocabularies.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit integers."""
+    """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Lower-case words without spaces between them, or byte-level chunks with the space in front.
+        #: Lower-case words without the spaces between them, or byte-level pieces with the space in front.
         self.words = self.library.normalizer is not None
+        steps = json.loads(self.library.to_str())["pre_tokenizer"].get("pretokenizers", [])
+        own = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
+        self.pattern = regex.compile(own[0] if own else _BYTE_LEVEL)
+        # The same merges on pieces that are split already.
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        import numpy as np
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's encoder for this file, with what it knows from earlier tasks."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
+    def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self.whole(text)
-        chunks = text.lower().split() if self.words else _SPACED.findall(text)
+    def encode_all(self, texts) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        group, size = [], 0
+        for t in texts:
+            group.append(t or "")
+            size += len(group[-1])
+            if size >= BATCH_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        cut = [
+            (t.lower().split() if self.words else _SPACED.findall(t)) if p else [] for t, p in zip(texts, plain, strict=True)
+        ]
+        if len(self.known) > KEPT_PIECES:
+            # The first ones met are the frequent ones.
+            self.known = dict(list(self.known.items())[: KEPT_PIECES // 2])
+        self._learn([c for c in dict.fromkeys(c for cs in cut for c in cs) if c not in self.known])
+        known = self.known
+        for t, p, chunks in zip(texts, plain, cut, strict=True):
+            yield b"".join([known[c] for c in chunks]) if p else self.whole(t)
+
+    def _learn(self, chunks: list[str]) -> None:
         known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if len(known) + len(new) > KEPT_CHUNKS:
-            # The first ones met are the frequent ones; keep a quarter and start over.
-            self.known = known = dict(list(known.items())[: KEPT_CHUNKS // 4])
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-        extra = {}
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            ids = self.library.encode_batch_fast(part, add_special_tokens=False)
-            extra.update(zip(part, (b"".join(x.to_bytes(4, "little") for x in e.ids) for e in ids), strict=True))
-        if len(known) + len(extra) <= KEPT_CHUNKS:
-            known.update(extra)
-            return b"".join([known[c] for c in chunks])
-        return b"".join([known[c] if c in known else extra[c] for c in chunks])
+        pieces = {c: self.pattern.findall(c) for c in chunks}
+        new = [p for p in dict.fromkeys(p for ps in pieces.values() for p in ps) if p not in known]
+        for p, e in zip(new, self.merges.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[p] = np.array(e.ids, "<u4").tobytes()
+        for c, ps in pieces.items():
+            if c not in known:
+                known[c] = b"".join([known[p] for p in ps])
