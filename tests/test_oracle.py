@@ -25,6 +25,7 @@ def test_query(spark, sf, con, name):
     df = QUERIES[name](spark, sf)
     got = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
+        assert got
         return
     cur = con.execute(ORACLES[name])
     cols = [d[0] for d in cur.description]
