@@ -32,22 +32,32 @@ def sample_long(
 
     Points are moved to each raster's system first when ``srid`` is given.
     """
-    srids = [r[0] for r in grids.select("srid").distinct().collect()] if srid else []
-    here = geo.point(F.col(x), F.col(y))
-    pos = here
+    srids = [r[0] for r in grids.select("srid").distinct().collect()] if srid else [None]
+    found = None
     for s in srids:
-        if s is not None and s != srid:
-            pos = F.when(F.col("srid") == s, transform_point(F.col(x), F.col(y), srid, s)).otherwise(pos)
-    # The raster list is the list of output columns, so it is a driver-sized table.
-    g = F.broadcast(grids) if grids.count() <= 10_000 else grids
-    d = points.select(key, x, y).crossJoin(g).withColumn("_p", pos)
-    d = d.select(
-        key,
-        "raster_id",
-        F.floor((F.col("_p.x") - F.col("x0")) / F.col("dx")).alias("col"),
-        F.floor((F.col("y0") - F.col("_p.y")) / F.col("dy")).alias("row"),
-        "ncols",
-        "nrows",
+        # Points meet the extents of one system's rasters by grid cells, never all with all.
+        moved = s is not None and s != srid
+        pos = transform_point(F.col(x), F.col(y), srid, s) if moved else geo.point(F.col(x), F.col(y))
+        at = points.select(key, pos.alias("_p"))
+        boxes = with_box(at.filter(F.col("_p.x").isNotNull() & F.col("_p.y").isNotNull()), "_p", "point")
+        own = grids if s is None else grids.filter(F.col("srid") == s)
+        extents = own.withColumns(
+            {
+                "xmin": F.col("x0"),
+                "ymin": F.col("y0") - F.col("nrows") * F.col("dy"),
+                "xmax": F.col("x0") + F.col("ncols") * F.col("dx"),
+                "ymax": F.col("y0"),
+            }
+        )
+        pairs = box_join(boxes, extents)
+        found = pairs if found is None else found.unionByName(pairs)
+    d = found.select(
+        F.col(f"a.{key}").alias(key),
+        F.col("b.raster_id").alias("raster_id"),
+        F.floor((F.col("a._p.x") - F.col("b.x0")) / F.col("b.dx")).alias("col"),
+        F.floor((F.col("b.y0") - F.col("a._p.y")) / F.col("b.dy")).alias("row"),
+        F.col("b.ncols").alias("ncols"),
+        F.col("b.nrows").alias("nrows"),
     )
     inside = (
         (F.col("col") >= 0)

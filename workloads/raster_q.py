@@ -270,7 +270,7 @@ SAMPLE_SQL = _sql(
 
 
 def altimetry(spark, sf):
-    d = sample.altimetry(_sample_points(spark, sf), pixels(spark, sf).filter(layer(1)), grids(spark, sf).filter(layer(1)))
+    d = sample.altimetry(_sample_points(spark, sf), pixels(spark, sf).filter(layer(1)), grids(spark, sf).filter(layer(1, None)))
     return _round(d.drop("x", "y"))
 
 
