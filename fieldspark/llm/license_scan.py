@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldspark.llm.common import let
 from fieldspark.plans.sizing import broadcast_if_small
 
 #: Spellings that licences use for one word, as patterns over lower-case text.
@@ -98,28 +99,48 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """Null where nothing is left."""
-    c = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+#: A line that has nothing left, but was not blank.
+_NOTHING = "\x01"
+
+
+def _line(line: Column) -> Column:
+    """The canonical form of one line: blank lines are empty, lines of which nothing is left a mark."""
+    plain = F.regexp_replace(F.lower(line), COPYRIGHT_LINE, "")
+    any_spelling = F.lit("|".join(pattern for pattern, _ in SPELLINGS))
+    spelled = let(plain, lambda c: F.when(F.rlike(c, any_spelling), _respelled(c)).otherwise(c))
+    bare = F.trim(F.regexp_replace(spelled, PUNCTUATION, " "))
+    return let(bare, lambda c: F.when(c != "", c).when(F.rlike(line, F.lit(r"^[ \t]*$")), "").otherwise(_NOTHING))
+
+
+def _respelled(c: Column) -> Column:
     for pattern, word in SPELLINGS:
         c = F.regexp_replace(c, pattern, word)
-    c = F.trim(F.regexp_replace(c, PUNCTUATION, " "))
-    return F.when(c != "", c)
+    return c
 
 
 def units(rows: DataFrame, text: Column, lines: bool) -> DataFrame:
-    """rows with unit, place and digest of the text, its paragraphs and (if asked for) lines, each digest once."""
+    """rows with unit, place and digest of the text, its paragraphs and (if asked for) lines.
 
-    def parts(pattern, name):
+    No spelling and no copyright line reaches over a line's end, so lines are made canonical once, and paragraphs and
+    the text are put together from them."""
+
+    def digest(part: Column) -> Column:
+        joined = F.trim(F.regexp_replace(part, "[\n\x01 ]+", " "))
+        return let(joined, lambda c: F.when(c != "", F.md5(c.cast("binary"))))
+
+    def numbered(parts: Column, name: str) -> Column:
         return F.transform(
-            F.split(text, pattern, -1),
-            lambda x, i: F.struct(F.lit(name).alias("unit"), i.cast("long").alias("place"), x.alias("part")),
+            parts, lambda x, i: F.struct(F.lit(name).alias("unit"), i.cast("long").alias("place"), digest(x).alias("digest"))
         )
 
-    whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(0).cast("long").alias("place"), text.alias("part")))
-    every = F.concat(whole, parts(r"\n[ \t]*\n", "paragraph"), *([parts("\n", "line")] if lines else []))
-    cut = rows.select("*", F.explode(every).alias("__u")).select(*[F.col(f"`{c}`") for c in rows.columns], "__u.*")
-    return cut.withColumn("digest", F.md5(canonical(F.col("part")).cast("binary"))).drop("part").filter("digest is not null")
+    def every(forms: Column) -> Column:
+        whole = F.array_join(forms, "\n")
+        parts = [numbered(F.array(whole), "text"), numbered(F.split(whole, r"\n[ \t]*\n", -1), "paragraph")]
+        return F.concat(*parts, *([numbered(forms, "line")] if lines else []))
+
+    made = let(F.transform(F.split(text, "\n", -1), _line), every)
+    found = F.filter(made, lambda u: u["digest"].isNotNull())
+    return rows.select("*", F.explode(found).alias("__u")).select(*[F.col(f"`{c}`") for c in rows.columns], "__u.*")
 
 
 def known(spark: SparkSession) -> DataFrame:
