@@ -81,6 +81,25 @@ def test_varied_lines(spark):
     assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in got} == brute.first_lines(docs)
 
 
+def test_similar_lines_become_candidates(spark):
+    """Short lines, one word, commas, CJK: each pair of similar lines, by its own, is found as brute force finds it."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for i in range(150):
+        prose = [word(r.randrange(4, 9)) for _ in range(r.choice((6, 8, 10, 14)))]
+        fields = [word(7) for _ in range(20)]
+        long_word, cjk = word(40), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(60))
+        typo = list(prose)
+        typo[r.randrange(len(typo))] += "x"
+        at = r.randrange(5, 35)
+        lines += [" ".join(prose), " ".join(typo), ",".join(fields), ",".join(["changed", *fields[1:]])]
+        lines += [long_word, long_word[:at] + "7" + long_word[at + 1 :], cjk, cjk[:30] + "x" + cjk[31:]]
+    docs = {i: x for i, x in enumerate(lines)}
+    got = line_dedup.line_table(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
+
+
 def test_line_edges(spark, awkward, empty):
     got = defaultdict(list)
     for r in line_dedup.line_table(awkward).collect():
