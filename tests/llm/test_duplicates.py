@@ -7,6 +7,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import AWKWARD
@@ -100,6 +101,36 @@ def test_similar_lines_become_candidates(spark):
     assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
 
 
+def test_crowded_buckets(spark):
+    """Templates with free slots: links equal brute force."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    lines = []
+    for words, slots in ((24, 4), (16, 3)):
+        base, fill = [word() for _ in range(words)], [word() for _ in range(6)]
+        for _ in range(150):
+            own = list(base)
+            for i in r.sample(range(words), slots):
+                own[i] = r.choice(fill)
+            lines.append(" ".join(own))
+    docs = {i: x for i, x in enumerate(lines)}
+    got = line_dedup.line_table(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
+
+
+def test_one_bucket(spark, monkeypatch):
+    """Twins that all share one bucket, whose smallest members are unlike most of them."""
+    r = random.Random(13)
+    bands = line_dedup._bands
+    monkeypatch.setattr(line_dedup, "_bands", lambda lines: bands(lines).withColumn("bands", F.array(F.lit(6).cast("long"))))
+    docs = {}
+    for i in range(60):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(r.choice((5, 20)))]
+        docs[2 * i], docs[2 * i + 1] = ",".join(words), ",".join([*words[:-1], words[-1][:-1] + "7"])
+    got = line_dedup.line_table(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
+
+
 def test_line_edges(spark, awkward, empty):
     got = defaultdict(list)
     for r in line_dedup.line_table(awkward).collect():
