@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import compression_quality, decontaminate, labelled, license_scan, line_dedup, near_duplicates, packing, quality_rules, token_files, toxicity, warc
+from fieldspark.llm import compression_quality, decontaminate, filter_audit, labelled, license_scan, line_dedup, near_duplicates, packing, quality_rules, token_counts, token_files, toxicity, warc
 from fieldspark.llm.common import shared_folder, table, written
 
 
@@ -91,6 +91,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json")
+    frequent = token_counts.frequent_lengths(token_counts.sample_files(spark, docs), path)
+    return token_counts.count_tokens(docs, path, frequent).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op2_warc": op2_warc,
@@ -103,8 +113,10 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_compression_quality": op9_compression_quality,
         "op10_quality_rules": op10_quality_rules,
+        "op11_token_counts": op11_token_counts,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_warc": WARC_SQL, "op4_license_scan": license_scan.oracle(), "op10_quality_rules": quality_rules.oracle()}
+    return {"op2_warc": WARC_SQL, "op4_license_scan": license_scan.oracle(), "op10_quality_rules": quality_rules.oracle(), "op13_filter_audit": filter_audit.oracle()}

@@ -25,7 +25,7 @@ def test_equals_sql(spark, sf, name):
 
 def test_registered():
     numbers = {int(n[2:].split("_")[0]) for n in OPERATORS if n.startswith("op")}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
