@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import compression_quality, decontaminate, filter_audit, labelled, license_scan, line_dedup, near_duplicates, packing, quality_rules, token_counts, token_files, toxicity, warc
+from fieldspark.llm import compression_quality, decontaminate, filter_audit, hard_negatives, labelled, license_scan, line_dedup, near_duplicates, packing, quality_rules, token_counts, token_files, toxicity, warc
 from fieldspark.llm.common import shared_folder, table, written
 
 
@@ -97,6 +97,11 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, path, frequent).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -114,6 +119,7 @@ def queries() -> dict:
         "op9_compression_quality": op9_compression_quality,
         "op10_quality_rules": op10_quality_rules,
         "op11_token_counts": op11_token_counts,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_filter_audit": op13_filter_audit,
     }
 
