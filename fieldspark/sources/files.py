@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo
 from fieldspark.functions.text import plain_num
 from fieldspark.operators.photos import canonicalize_map
 from fieldspark.plans.keyjoin import join_on
+from fieldspark.plans.sizing import broadcast_if_small
+from fieldspark.sources.ranges import find_block, open_file, read_lines
 
 # File extensions by kind.
 RASTER = ("tif", "tiff", "ecw", "jp2", "img", "asc", "vrt")
 VECTOR = ("shp", "gpkg", "geojson", "kml", "kmz", "gml", "csv")
+#: Bytes of a text grid that its header is looked for in.
+HEAD_BYTES = 1 << 16
 FLIGHT_FOLDER = r"(?i)DJI_\d+_(\d+?)_([^_/]+)"
 
 
@@ -153,37 +157,51 @@ def parse_xmp(content: DataFrame, body: str = "content") -> DataFrame:
     return d.withColumns({"attributes": canonicalize_map(F.col("xmp")), "dewarp": parse_dewarp(dewarp)}).drop("_a")
 
 
-def read_xmp(spark: SparkSession, path: str, pattern: str = "*.[jJ][pP][gG]") -> DataFrame:
-    """XMP attributes of the images under a folder, with size in MB."""
+def read_xmp(spark: SparkSession, path: str, pattern: str = "*.[jJ][pP][gG]", tail: int = 1 << 16) -> DataFrame:
+    """XMP attributes of the images under a folder, with size in MB.
+
+    Spark lists the images; tasks read the last `tail` bytes of each, and more only where the block is not there."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    d = reader.option("pathGlobFilter", pattern).load(path)
-    d = d.withColumns(
+    listed = reader.option("pathGlobFilter", pattern).load(path).select("path", "length")
+
+    def blocks(batches):
+        for b in batches:
+            found = []
+            for uri, size in zip(b["path"], b["length"], strict=True):
+                with open_file(uri) as f:
+                    found.append(find_block(f, size, b"<x:xmpmeta", b"</x:xmpmeta>", tail))
+            yield b.assign(content=found)
+
+    d = listed.mapInPandas(blocks, "path string, length long, content binary").withColumns(
         {
             "Path": F.regexp_replace("path", r"^file:/+", "/"),
             "SizeMb": F.bround(F.col("length") / (1024.0 * 1024.0), 2),
+            "content": F.coalesce("content", F.lit(b"")),
         }
     )
     out = parse_xmp(d.select("Path", "SizeMb", "content"))
     return out.withColumn("File", F.regexp_extract("Path", r"([^/]+)$", 1)).drop("content")
 
 
-def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(pixels, grids) of text grids: a six-line header, then one line per row."""
-    whole = spark.read.text(path, recursiveFileLookup=True, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]+$", "").alias("raster_id"),
-        F.split(F.trim("value"), r"\r?\n").alias("_l"),
+def read_ascii_grid(spark: SparkSession, path: str, range_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pixels, grids) of text grids: a header of up to seven lines, then one line per row.
+
+    A large grid is read in byte ranges by many tasks: lines of values are counted for each range first, and a line's
+    row is the count before its range and its place in it.  Files of one name are one raster, told apart by nothing."""
+    named_raster = F.regexp_replace("file_name", r"\.[^.]+$", "").alias("raster_id")
+    heads = read_lines(spark, path, most=HEAD_BYTES, head=HEAD_BYTES).filter("number < 7").select(
+        named_raster, "file_path", "number", F.split(F.lower(F.trim("value")), r"\s+").alias("_p")
     )
 
     def head(name: str, default: float | None = None) -> Column:
-        line = F.get(F.filter(F.slice("_l", 1, 7), lambda x: F.lower(x).startswith(name)), F.lit(0))
-        v = F.get(F.split(F.trim(line), r"\s+"), F.lit(1)).try_cast("double")
+        named = F.get("_p", F.lit(0)).startswith(name)
+        v = F.min_by(F.when(named, F.get("_p", F.lit(1)).try_cast("double")), F.when(named, F.col("number")))
         return v if default is None else F.coalesce(v, F.lit(default))
 
     size = head("cellsize")
     left = F.coalesce(head("xllcorner"), head("xllcenter") - size / 2)
     bottom = F.coalesce(head("yllcorner"), head("yllcenter") - size / 2)
-    grids = whole.select(
-        "raster_id",
+    grids = heads.groupBy("raster_id", "file_path").agg(
         left.alias("x0"),
         (bottom + head("nrows") * size).alias("y0"),
         size.alias("dx"),
@@ -192,12 +210,17 @@ def read_ascii_grid(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         head("nrows").cast("int").alias("nrows"),
         F.lit(None).cast("int").alias("srid"),
         head("nodata_value", -9999.0).alias("nodata"),
-    )
-    body = F.filter("_l", lambda x: x.rlike(r"^\s*[-+0-9.]"))
-    rows = whole.select("raster_id", F.posexplode(body).alias("row", "_line"))
-    pixels = rows.select(
-        "raster_id", F.lit(1).alias("band"), "row", F.posexplode(F.split(F.trim("_line"), r"\s+")).alias("col", "_v")
-    ).select("raster_id", "band", "row", "col", F.col("_v").try_cast("double").alias("value"))
+    ).drop("file_path")
+    body = read_lines(spark, path, most=range_bytes, match=r"^\s*[-+0-9.]").filter("matched is not null")
+    # One row a range: how many lines of values the file has before it.
+    counts = body.groupBy("file_path", "start").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("file_path", "start", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = join_on(body, broadcast_if_small(starts), ["file_path", "start"])
+    pixels = placed.select(
+        named_raster, F.lit(1).alias("band"), (F.col("_before") + F.col("matched")).cast("int").alias("row"),
+        F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "_v"),
+    ).select("raster_id", "band", "row", "col", F.col("_v").try_cast("double").alias("value"))
     return pixels, grids
 
 

@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldspark.sources.logs import parse_logs
+from fieldspark.sources.ranges import appended_lines
 
 
-def stream_logs(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New log files of a folder as a stream; the checkpoint remembers what was read.
+def stream_logs(spark: SparkSession, path: str, pattern: str = "*", range_bytes: int | None = None) -> DataFrame:
+    """Events of the log files of a folder as a stream: new files and lines appended to known ones.
 
-    Appending to one file is not followed: writers roll files.
-    """
-    reader = spark.readStream.format("text").option("recursiveFileLookup", "true")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.load(path).select("value", F.col("_metadata.file_name").alias("file_name"))
-    return parse_logs(lines)
+    A last line without its line feed waits until it is whole, a file cut short is read again from its beginning;
+    the checkpoint remembers how far every file was read."""
+    lines = appended_lines(spark, path, pattern, range_bytes)
+    return parse_logs(lines.select("value", "file_name", "line_start"))
 
 
 def error_windows(
