@@ -11,13 +11,11 @@ from fieldspark.functions import geo
 from fieldspark.functions.crs import transform_point
 from fieldspark.operators.fields import short_names
 from fieldspark.operators.raster import PIXEL
-from fieldspark.operators.spatial import BOX, box_join, with_box
+from fieldspark.operators.scanline import extents, on_pixels, polygon_spans
+from fieldspark.operators.spatial import box_join, with_box
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.sizing import broadcast_if_small
 
-# Side of the pixel blocks masks are matched with.
-BLOCK = 64
-
 
 def sample_long(
     points: DataFrame,
@@ -41,15 +39,7 @@ def sample_long(
         at = points.select(key, pos.alias("_p"))
         boxes = with_box(at.filter(F.col("_p.x").isNotNull() & F.col("_p.y").isNotNull()), "_p", "point")
         own = grids if s is None else grids.filter(F.col("srid") == s)
-        extents = own.withColumns(
-            {
-                "xmin": F.col("x0"),
-                "ymin": F.col("y0") - F.col("nrows") * F.col("dy"),
-                "xmax": F.col("x0") + F.col("ncols") * F.col("dx"),
-                "ymax": F.col("y0"),
-            }
-        )
-        pairs = box_join(boxes, extents)
+        pairs = box_join(boxes, extents(own), points="a")
         found = pairs if found is None else found.unionByName(pairs)
     d = found.select(
         F.col(f"a.{key}").alias(key),
@@ -106,69 +96,6 @@ def altimetry(
     return join_on(points, one, [key], "left")
 
 
-def _mask_blocks(
-    masks: DataFrame, grids: DataFrame, feature: str, rings: str, margin_pixels: float, cell: float | None
-) -> DataFrame:
-    """Masks listed in the pixel blocks of every raster their box touches."""
-    m = with_box(masks.select(F.col(feature).alias("feature"), F.col(rings).alias("rings")), "rings")
-    if margin_pixels:
-        step = grids.agg(F.max(F.greatest("dx", "dy"))).first()[0] or 0.0
-        pad = margin_pixels * step
-        m = m.withColumns(
-            {
-                "xmin": F.col("xmin") - pad,
-                "ymin": F.col("ymin") - pad,
-                "xmax": F.col("xmax") + pad,
-                "ymax": F.col("ymax") + pad,
-            }
-        )
-    g = grids.withColumns(
-        {
-            "xmin": F.col("x0"),
-            "ymin": F.col("y0") - F.col("nrows") * F.col("dy"),
-            "xmax": F.col("x0") + F.col("ncols") * F.col("dx"),
-            "ymax": F.col("y0"),
-        }
-    )
-    pairs = box_join(m, g, cell)
-
-    def blocks(lo: Column, hi: Column, count: Column) -> Column:
-        lo = F.greatest(F.floor(lo), F.lit(0).cast("bigint"))
-        hi = F.least(F.floor(hi), count.cast("bigint") - 1)
-        return F.when(
-            lo <= hi, F.sequence(F.floor(lo / BLOCK), F.floor(hi / BLOCK))
-        ).otherwise(F.array().cast("array<bigint>"))
-
-    a, b = F.col("a"), F.col("b")
-    cols = blocks((a.xmin - b.x0) / b.dx, (a.xmax - b.x0) / b.dx, b.ncols)
-    rows = blocks((b.y0 - a.ymax) / b.dy, (b.y0 - a.ymin) / b.dy, b.nrows)
-    d = pairs.withColumn("_bc", F.explode(cols)).withColumn("_br", F.explode(rows))
-    return d.select(
-        b.raster_id.alias("raster_id"),
-        "_br",
-        "_bc",
-        a.feature.alias("feature"),
-        a.rings.alias("rings"),
-        *[a[n].alias(f"_{n}") for n in BOX],
-        b.x0.alias("_x0"),
-        b.y0.alias("_y0"),
-        b.dx.alias("_dx"),
-        b.dy.alias("_dy"),
-    )
-
-
-def _hit(buffer_pixels: float) -> Column:
-    x = F.col("_x0") + (F.col("col") + 0.5) * F.col("_dx")
-    y = F.col("_y0") - (F.col("row") + 0.5) * F.col("_dy")
-    boxed = x.between(F.col("_xmin"), F.col("_xmax")) & y.between(F.col("_ymin"), F.col("_ymax"))
-    inside = geo.in_polygon(x, y, F.col("rings"))
-    if buffer_pixels:
-        reach = buffer_pixels * F.greatest("_dx", "_dy")
-        inside = inside | (geo.ring_distance(x, y, F.col("rings")) <= reach)
-    # The box test is cheap and goes first.
-    return boxed & inside
-
-
 def clip_raster(
     pixels: DataFrame,
     grids: DataFrame,
@@ -177,20 +104,20 @@ def clip_raster(
     rings: str = "rings",
     per_feature: bool = False,
     buffer_pixels: float = 0.0,
-    cell: float | None = None,
 ) -> DataFrame:
     """Pixels whose centre lies in a mask polygon, all together or per feature.
 
-    ``buffer_pixels`` also keeps centres within that many pixels of a mask edge.
-    Masks and pixels meet by an equi join on pixel blocks.
+    ``buffer_pixels`` also keeps centres within that many pixels of a mask edge.  Masks reach the pixels as spans of
+    columns, so a mask of any number of vertices costs its crossings with the rows of pixels.
     """
-    blocks = _mask_blocks(masks, grids, feature, rings, buffer_pixels, cell)
-    px = pixels.withColumns({"_br": F.floor(F.col("row") / BLOCK), "_bc": F.floor(F.col("col") / BLOCK)})
-    keys = ["raster_id", "_br", "_bc"]
-    hits = px.join(blocks, keys).filter(_hit(buffer_pixels))
-    if per_feature:
-        return hits.select("feature", *PIXEL)
-    return hits.select(*PIXEL).dropDuplicates(["raster_id", "band", "row", "col"])
+    spans = polygon_spans(masks, grids, feature, rings, buffer_pixels)
+    if not per_feature:
+        return on_pixels(pixels, spans, "left_semi").select(*PIXEL)
+    hits = on_pixels(pixels, spans)
+    if buffer_pixels:
+        hits = hits.dropDuplicates(["feature", "mask", "raster_id", "band", "row", "col"])
+    # Equal masks of one feature count as often as they are there.
+    return hits.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("feature", *PIXEL)
 
 
 def clip_extent(
@@ -225,16 +152,7 @@ def clip_extent(
 
 def assert_overlap(grids: DataFrame, masks: DataFrame, feature: str = "fid", rings: str = "rings"):
     """The masks that touch a raster; an error when none does."""
-    m = with_box(masks, rings)
-    g = grids.withColumns(
-        {
-            "xmin": F.col("x0"),
-            "ymin": F.col("y0") - F.col("nrows") * F.col("dy"),
-            "xmax": F.col("x0") + F.col("ncols") * F.col("dx"),
-            "ymax": F.col("y0"),
-        }
-    )
-    hits = box_join(m, g).select(F.col(f"a.{feature}").alias(feature)).distinct()
+    hits = box_join(with_box(masks, rings), extents(grids)).select(F.col(f"a.{feature}").alias(feature)).distinct()
     if not hits.head(1):
         raise ValueError("no mask feature overlaps the rasters")
     return masks.join(hits, feature, "left_semi")

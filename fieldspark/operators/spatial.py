@@ -1,8 +1,11 @@
-"""Spatial joins as equi joins on grid cells with an exact test afterwards.
-
-Boxes are listed in the cells they touch.  A pair found in several cells is kept
-only in the cell that holds the lower-left corner of the common box, so no
-de-duplication is needed.  Cells where both sides are crowded are split again.
+"""Spatial joins as equi joins on the cells of a hierarchical grid, with an exact test afterwards.
+
+A box belongs to the level whose cells are just as wide as the box or wider, so it touches four of them at most.  Two
+boxes meet on the level of the larger one: the larger is listed in its own cells, the smaller in the cells it touches on
+every level the other side has from its own upwards.  A country among fields therefore costs four cells and not one for
+each field-sized cell of its area.  A pair found in several cells is kept only in the one that holds the lower-left
+corner of the common box, so no de-duplication is needed.  The levels a side has are one row that travels as a broadcast;
+no job runs while a plan is built, and cells that hold far more rows than others are split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -12,12 +15,10 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geo
 from fieldspark.plans.keyjoin import join_on
-from fieldspark.plans.sizing import broadcast_if_small
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
-# Candidate pairs one cell may produce before it is split.
-MAX_CELL_PAIRS = 4_000_000
-_SPLIT, _LEVELS = 8, 4
+# Cells of one level are so many times as wide as those of the level below; the lowest level's are about 1e-6 wide.
+_STEP, _LOWEST = 4.0, -10
 
 
 def with_box(df: DataFrame, geom: str, kind: str = "polygon") -> DataFrame:
@@ -32,80 +33,65 @@ def with_box(df: DataFrame, geom: str, kind: str = "polygon") -> DataFrame:
     )
 
 
-def _cells(df: DataFrame, size: float, parent: bool = False) -> DataFrame:
-    """One row per touched cell; inside a parent cell only its own children."""
+def _leveled(df: DataFrame, name: str) -> DataFrame:
+    """The rows with their columns renamed, their boxes and levels; rows without a box drop out."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    level = F.greatest(F.ceil(F.log(_STEP, side)).cast("int"), F.lit(_LOWEST))
+    d = df.filter(F.col("xmin").isNotNull() & F.col("ymin").isNotNull() & side.isNotNull())
+    # Plain columns up to the join: Spark prunes the fields of a struct wrongly below explode.
+    kept = [F.col(f"`{c}`").alias(f"_{name}_{i}") for i, c in enumerate(df.columns)]
+    # The logarithm of 0 is null.
+    own = F.coalesce(level, F.lit(_LOWEST)).alias(f"_{name}_own")
+    return d.select(*kept, *[F.col(c).cast("double").alias(f"_{name}_{c}") for c in BOX], own)
 
-    def span(lo: Column, hi: Column, p: str) -> Column:
-        a, b = F.floor(lo / size), F.floor(hi / size)
-        if parent:
-            a = F.greatest(a, F.col(p) * _SPLIT)
-            b = F.least(b, F.col(p) * _SPLIT + _SPLIT - 1)
-        return F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
 
-    d = df.withColumn("_nx", F.explode(span(F.col("_r.xmin"), F.col("_r.xmax"), "_cx")))
-    d = d.withColumn("_ny", F.explode(span(F.col("_r.ymin"), F.col("_r.ymax"), "_cy")))
-    return d.drop("_cx", "_cy").withColumnsRenamed({"_nx": "_cx", "_ny": "_cy"})
+def _cells(df: DataFrame, name: str, levels: Column) -> DataFrame:
+    """One row per cell that the box touches on each of the levels."""
 
+    def span(axis: str, size: Column) -> Column:
+        return F.sequence(F.floor(F.col(f"_{name}_{axis}min") / size), F.floor(F.col(f"_{name}_{axis}max") / size))
 
-def default_cell(df: DataFrame) -> float:
-    """Cell side from the mean box side and the density of the boxes."""
-    r = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))).alias("side"),
-        F.greatest(
-            F.max("xmax") - F.min("xmin"), F.max("ymax") - F.min("ymin")
-        ).alias("extent"),
-    ).first()
-    if not r.n or not r.extent:
-        return 1.0
-    return max(r.side or 0.0, r.extent / max(1.0, r.n**0.5), r.extent / 1e6)
+    def on(level: Column) -> Column:
+        size = F.pow(F.lit(_STEP), level)
+        cell = lambda x: lambda y: F.struct(level.alias("level"), x.alias("x"), y.alias("y"))
+        return F.flatten(F.transform(span("x", size), lambda x: F.transform(span("y", size), cell(x))))
 
+    return df.withColumn("_cell", F.explode(F.flatten(F.transform(levels, on))))
 
-def box_join(
-    a: DataFrame,
-    b: DataFrame,
-    cell: float | None = None,
-    self_join: str | None = None,
-    max_cell_pairs: int = MAX_CELL_PAIRS,
-) -> DataFrame:
+
+def _meet(larger: DataFrame, smaller: DataFrame, equal: bool, names: tuple[str, str]) -> DataFrame:
+    """Pairs whose first box is on a higher level, or on the same one if `equal`."""
+    own_level, level = f"_{names[0]}_own", F.col(f"_{names[1]}_own")
+    own = _cells(larger, names[0], F.array(own_level))
+    # One row: the levels of the larger side.
+    levels = larger.agg(F.sort_array(F.collect_set(own_level)).alias("_levels"))
+    from_own = F.filter("_levels", lambda v: (v >= level) if equal else (v > level))
+    up = _cells(smaller.crossJoin(F.broadcast(levels)), names[1], from_own).drop("_levels")
+    pairs = own.join(up, "_cell")
+    cell = F.col("_cell")
+    size = F.pow(F.lit(_STEP), cell["level"])
+    x, y = F.greatest("_a_xmin", "_b_xmin"), F.greatest("_a_ymin", "_b_ymin")
+    common = (x <= F.least("_a_xmax", "_b_xmax")) & (y <= F.least("_a_ymax", "_b_ymax"))
+    home = (F.floor(x / size) == cell["x"]) & (F.floor(y / size) == cell["y"])
+    return pairs.filter(common & home)
+
+
+def box_join(a: DataFrame, b: DataFrame, self_join: str | None = None, points: str | None = None) -> DataFrame:
     """All pairs (structs ``a`` and ``b``) of rows whose boxes share a point.
 
-    ``self_join`` names an id: each unordered pair is then returned once.
+    ``self_join`` names an id: each unordered pair is then returned once.  ``points`` names the side, "a" or "b", whose
+    boxes are all points: none of them can be the larger one, which saves a join.
     """
-    size = cell or default_cell(b)
-    left = _cells(a.select(F.struct("*").alias("_r")), size)
-    right = _cells(b.select(F.struct("*").alias("_r")), size)
-    levels = []
-    keys = ["_cx", "_cy"]
-    for level in range(_LEVELS):
-        ca = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_na"))
-        cb = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"))
-        crowded = ca.join(cb, keys).filter(F.col("_na") * F.col("_nb") > max_cell_pairs).select(*keys)
-        if level == _LEVELS - 1 or not crowded.head(1):
-            levels.append((left, right, size))
-            break
-        crowded = broadcast_if_small(crowded)
-        levels.append(
-            (left.join(crowded, keys, "left_anti"), right.join(crowded, keys, "left_anti"), size)
-        )
-        size /= _SPLIT
-        left = _cells(left.join(crowded, keys, "left_semi"), size, parent=True)
-        right = _cells(right.join(crowded, keys, "left_semi"), size, parent=True)
-    out = None
-    for la, lb, s in levels:
-        pairs = la.withColumnRenamed("_r", "a").join(lb.withColumnRenamed("_r", "b"), keys)
-        x = F.greatest(F.col("a.xmin"), F.col("b.xmin"))
-        y = F.greatest(F.col("a.ymin"), F.col("b.ymin"))
-        meet = (x <= F.least(F.col("a.xmax"), F.col("b.xmax"))) & (
-            y <= F.least(F.col("a.ymax"), F.col("b.ymax"))
-        )
-        home = (F.floor(x / s) == F.col("_cx")) & (F.floor(y / s) == F.col("_cy"))
-        cond = meet & home
-        if self_join:
-            cond = cond & (F.col(f"a.{self_join}") < F.col(f"b.{self_join}"))
-        pairs = pairs.filter(cond).select("a", "b")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    left, right = _leveled(a, "a"), _leveled(b, "b")
+    if points == "b":
+        pairs = _meet(left, right, True, ("a", "b"))
+    else:
+        pairs = _meet(right, left, True, ("b", "a"))
+        if points != "a":
+            pairs = pairs.unionByName(_meet(left, right, False, ("a", "b")))
+    rows = [F.struct(*[F.col(f"_{n}_{i}").alias(c) for i, c in enumerate(df.columns)]).alias(n) for n, df in (("a", a), ("b", b))]
+    pairs = pairs.select(*rows)
+    return pairs.filter(F.col(f"a.{self_join}") < F.col(f"b.{self_join}")) if self_join else pairs
 
 
 def _edges(parts: Column) -> Column:
@@ -183,13 +169,10 @@ def spatial_join(
     kind_b: str = "polygon",
     geom_a: str = "geom",
     geom_b: str = "geom",
-    cell: float | None = None,
-    max_cell_pairs: int = MAX_CELL_PAIRS,
 ) -> DataFrame:
     """Pairs of features that intersect, as structs ``a`` and ``b``."""
-    pairs = box_join(
-        with_box(a, geom_a, kind_a), with_box(b, geom_b, kind_b), cell, max_cell_pairs=max_cell_pairs
-    )
+    points = "a" if kind_a == "point" else "b" if kind_b == "point" else None
+    pairs = box_join(with_box(a, geom_a, kind_a), with_box(b, geom_b, kind_b), points=points)
     return pairs.filter(
         intersects(F.col(f"a.{geom_a}"), kind_a, F.col(f"b.{geom_b}"), kind_b)
     )
@@ -203,10 +186,9 @@ def extract_by_location(
     kind_b: str = "point",
     geom_a: str = "geom",
     geom_b: str = "geom",
-    cell: float | None = None,
 ) -> DataFrame:
     """Features of A that intersect any feature of B."""
-    hits = spatial_join(a, b, kind_a, kind_b, geom_a, geom_b, cell)
+    hits = spatial_join(a, b, kind_a, kind_b, geom_a, geom_b)
     return a.join(hits.select(F.col(f"a.{key}").alias(key)).distinct(), key, "left_semi")
 
 

@@ -123,6 +123,27 @@ def spatial_join(spark, sf):
     return d.select(F.col("a.fid").alias("point"), F.col("b.fid").alias("box"))
 
 
+def spatial_join_sizes(spark, sf):
+    """Boxes of very different sizes: one holds everything, one in ten is a strip across half of the area."""
+    b = _boxes(spark, sf)
+    wide = F.when(F.col("fid") % 10 == 0, 50.0).otherwise(F.col("nk") % 5 + 0.5)
+    first = F.element_at(F.element_at("geom", 1), 1)
+    x, y, h = first.x, first.y, F.col("nk") % 7 + 0.5
+    ring = F.array(geo.point(x, y), geo.point(x + wide, y), geo.point(x + wide, y + h), geo.point(x, y + h))
+    corner = lambda v, w: geo.point(F.lit(v), F.lit(w))
+    whole = F.array(corner(-1e3, -1e3), corner(1e3, -1e3), corner(1e3, 1e3), corner(-1e3, 1e3))
+    country = b.agg((-F.max("fid")).alias("fid")).withColumn("geom", F.array(whole))
+    areas = b.select("fid", F.array(ring).alias("geom")).unionByName(country)
+    d = spatial.spatial_join(areas, areas, "polygon", "polygon").filter("a.fid < b.fid")
+    return d.select(F.col("a.fid").alias("a"), F.col("b.fid").alias("b"))
+
+
+SIZES_SQL = """WITH bx AS (SELECT s_suppkey AS fid, s_acctbal/100 AS x0, s_suppkey%40 AS y0,
+ s_acctbal/100 + CASE WHEN s_suppkey%10 = 0 THEN 50.0 ELSE s_nationkey%5+0.5 END AS x1, s_suppkey%40 + s_nationkey%7+0.5 AS y1 FROM supplier
+ UNION ALL SELECT -max(s_suppkey), -1e3, -1e3, 1e3, 1e3 FROM supplier)
+SELECT a.fid AS a, b.fid AS b FROM bx a JOIN bx b ON a.fid < b.fid AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"""
+
+
 def extract_by_location(spark, sf):
     d = spatial.extract_by_location(_boxes(spark, sf), _dots(spark, sf), "fid")
     return d.select("fid")
@@ -240,6 +261,7 @@ REGISTRY = {
         "SELECT c_custkey, round(c_acctbal/111320,9) AS deg, round(c_acctbal/0.3048,6) AS feet FROM customer",
     ),
     "spatial_join": (spatial_join, with_sql([_BOXES_SQL], f"SELECT dt.fid AS point, bx.fid AS box FROM dt JOIN bx ON {_INSIDE}")),
+    "spatial_join_sizes": (spatial_join_sizes, SIZES_SQL),
     "extract_by_location": (
         extract_by_location,
         with_sql([_BOXES_SQL], f"SELECT DISTINCT bx.fid FROM bx JOIN dt ON {_INSIDE}"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo
-from fieldspark.operators import raster, resample, sample
+from fieldspark.operators import raster, resample, sample, scanline
 from fieldspark.operators.raster import layer
 from workloads.inputs import PIXELS_SQL, SHIFTED_SQL, grids, pixels, shifted_grids, table, two_bands, with_sql
 from workloads.tables_q import _round
@@ -312,6 +312,16 @@ def zonal_statistics(spark, sf):
     return _round(sample.zonal_statistics(pixels(spark, sf), grids(spark, sf), _masks(spark, sf)).drop("band"))
 
 
+def clip_buffer(spark, sf):
+    d = sample.clip_raster(pixels(spark, sf), grids(spark, sf), _masks(spark, sf), per_feature=True, buffer_pixels=1.5)
+    return d.select("feature", "raster_id", "row", "col")
+
+
+def rasterize_polygons(spark, sf):
+    masks = _masks(spark, sf).withColumn("value", F.col("fid") * 1.5)
+    return scanline.rasterize_polygons(masks, grids(spark, sf)).select("raster_id", "row", "col", "value")
+
+
 def clip_extent(spark, sf):
     g = grids(spark, sf).withColumn("srid", F.lit(4326))
     d = sample.clip_extent(pixels(spark, sf), g, (10.2, 5.3, 30.7, 40.1))
@@ -407,6 +417,23 @@ FROM near a JOIN near b USING (row, col) JOIN near c USING (row, col) WHERE a.ra
             _MASK_SQL,
         ),
     ),
+    "clip_buffer": (
+        clip_buffer,
+        _sql(
+            f"""SELECT feature, raster_id, row, col FROM (SELECT fid AS feature, raster_id, row, col, px - x AS u, py - y AS v, ({_IN}) AS inside
+ FROM c CROSS JOIN m) WHERE inside OR least(
+ sqrt((u - greatest(0, least(10, u))) ** 2 + v ** 2), sqrt(u ** 2 + (v - greatest(0, least(6, v))) ** 2),
+ sqrt((u - 10 + 10 * greatest(0, least(1, (-10 * (u - 10) + 6 * v) / 136))) ** 2 + (v - 6 * greatest(0, least(1, (-10 * (u - 10) + 6 * v) / 136))) ** 2)) <= 1.5""",
+            _MASK_SQL,
+        ),
+    ),
+    "rasterize_polygons": (
+        rasterize_polygons,
+        """WITH m AS (SELECT n_nationkey AS fid, n_nationkey*2+0.25 AS x, n_nationkey*3%50+0.25 AS y FROM nation),
+c AS (SELECT DISTINCT l_linenumber AS raster_id, r AS row, k AS col, k+0.5 AS px, 64-r-0.5 AS py
+ FROM lineitem, (SELECT unnest(range(64))::INT AS r), (SELECT unnest(range(64))::INT AS k))
+SELECT raster_id, row, col, max(fid) * 1.5 AS value FROM c JOIN m ON px > x AND py > y AND (px - x) / 10 + (py - y) / 6 < 1 GROUP BY ALL""",
+    ),
     "clip_extent": (
         clip_extent,
         _sql("SELECT raster_id, row, col FROM pixels WHERE col+0.5 BETWEEN 10.2 AND 30.7 AND 63.5-row BETWEEN 5.3 AND 40.1"),
