@@ -1,4 +1,4 @@
-"""Resampling and reprojection-free regridding of pixel tables.
+"""Resampling and regridding of pixel tables, within one coordinate system.
 
 Each source pixel works out which target cells it feeds, so no neighbour join is
 needed: nearest is a plain projection, the kernels one grouped sum.
@@ -136,6 +136,11 @@ def _blocks(d: DataFrame, t: Grid, method: str) -> DataFrame:
     cells = d.select("raster_id", "band", at[0].alias("row"), at[1].alias("col"), "value").filter(
         F.col("row").between(0, t.nrows - 1) & F.col("col").between(0, t.ncols - 1)
     )
+    return cell_statistics(cells, method)
+
+
+def cell_statistics(cells: DataFrame, method: str) -> DataFrame:
+    """One statistic of all values of a target cell."""
     simple = {"average": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
     if method in simple:
         return cells.groupBy(*_KEYS).agg(simple[method]("value").alias("value"))
@@ -151,10 +156,22 @@ def _blocks(d: DataFrame, t: Grid, method: str) -> DataFrame:
 METHODS = ("nearest", *_REACH, "average", "sum", "min", "max", "mode", "median", "q1", "q3")
 
 
-def resample(pixels: DataFrame, grids: DataFrame, target: Grid, method: str = "nearest") -> DataFrame:
-    """Pixels of every raster on the target grid; nodata pixels do not contribute."""
+def resample(
+    pixels: DataFrame, grids: DataFrame, target: Grid, method: str = "nearest", srid: int | None = None
+) -> DataFrame:
+    """Pixels of every raster on the target grid; nodata pixels do not contribute.
+
+    ``srid`` is the system of the target grid: rasters of another one are reprojected."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
+    if srid is not None:
+        from fieldspark.operators.warp import reproject_raster
+
+        other = grids.filter(F.col("srid") != srid)
+        if other.head(1):
+            own = grids.filter(F.coalesce(F.col("srid") == srid, F.lit(True)))
+            moved = reproject_raster(pixels, other, target, srid, method)
+            return resample(pixels, own, target, method).select(*_KEYS, "value").unionByName(moved)
     d = _with_grid(pixels, grids)
     if method == "nearest":
         return _nearest(d, target)

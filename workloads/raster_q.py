@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo
-from fieldspark.operators import raster, resample, sample, scanline
+from fieldspark.operators import raster, resample, sample, scanline, warp
 from fieldspark.operators.raster import layer
 from workloads.inputs import PIXELS_SQL, SHIFTED_SQL, grids, pixels, shifted_grids, table, two_bands, with_sql
 from workloads.tables_q import _round
@@ -322,6 +322,58 @@ def rasterize_polygons(spark, sf):
     return scanline.rasterize_polygons(masks, grids(spark, sf)).select("raster_id", "row", "col", "value")
 
 
+_WARP_GRID = resample.Grid(-52.9505, -22.5905, 0.0004, 0.0003, 60, 70)
+
+
+def _utm_grids(spark, sf):
+    """The rasters at 30 m, each some cells away from the others."""
+    k = F.col("raster_id")
+    size = {"dx": F.lit(30.0), "dy": F.lit(30.0)}
+    return grids(spark, sf).withColumns({"x0": 300000.0 + 60 * k, "y0": 7500000.0 - 30 * k, **size})
+
+
+def reproject_nearest(spark, sf):
+    d = warp.reproject_raster(pixels(spark, sf), _utm_grids(spark, sf), _WARP_GRID, 4326, "nearest", 1e-5)
+    return _round(d.drop("band"))
+
+
+def reproject_bilinear(spark, sf):
+    d = warp.reproject_raster(pixels(spark, sf), _utm_grids(spark, sf), _WARP_GRID, 4326, "bilinear", 0.0)
+    return d.select("raster_id", "row", "col", F.round("value", 4).alias("value"))
+
+
+def reproject_average(spark, sf):
+    """Geographic cells averaged over UTM cells of 90 m."""
+    g = _utm_grids(spark, sf).withColumns(
+        {"x0": F.lit(-52.9505), "y0": F.lit(-22.5905), "dx": F.lit(0.0004), "dy": F.lit(0.0003), "srid": F.lit(4326)}
+    )
+    target = resample.Grid(299500.0, 7500700.0, 90.0, 90.0, 30, 30)
+    return _round(warp.reproject_raster(pixels(spark, sf), g, target, 32722, "average").drop("band"))
+
+
+def _utm_sql(lon: str, lat: str) -> str:
+    """Columns x and y of UTM zone 22 south as a chain of subqueries over a relation `spots`."""
+    n = "(1/298.257223563/(2-1/298.257223563))"
+    e = "sqrt(1/298.257223563*(2-1/298.257223563))"
+    radius = f"(0.9996*6378137/(1+{n})*(1+{n}**2/4+{n}**4/64))"
+    alpha = (
+        f"({n}/2-2*{n}**2/3+5*{n}**3/16+41*{n}**4/180)", f"(13*{n}**2/48-3*{n}**3/5+557*{n}**4/1440)",
+        f"(61*{n}**3/240-103*{n}**4/140)", f"(49561*{n}**4/161280)",
+    )
+    north = " + ".join(f"{a}*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(alpha, 1))
+    east = " + ".join(f"{a}*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(alpha, 1))
+    return f"""SELECT *, 500000 + {radius}*(eta + {east}) AS x, 10000000 + {radius}*(xi + {north}) AS y FROM (
+ SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl)/sqrt(1+t*t)) AS eta FROM (
+ SELECT *, sinh(atanh(s) - {e}*atanh({e}*s)) AS t FROM (SELECT *, sin(radians({lat})) AS s, radians({lon} + 51) AS dl FROM spots)))"""
+
+
+_WARP_SQL = f"""spots AS (SELECT r AS row, c AS col, -52.9505 + (c+0.5)*0.0004 AS lon, -22.5905 - (r+0.5)*0.0003 AS lat
+ FROM (SELECT unnest(range(70))::INT AS r), (SELECT unnest(range(60))::INT AS c)),
+utm AS MATERIALIZED ({_utm_sql("lon", "lat")}),
+src AS MATERIALIZED (SELECT k AS raster_id, row, col, (x-300000-60*k)/30 AS u, (7500000-30*k-y)/30 AS v FROM utm, (SELECT DISTINCT l_linenumber AS k FROM lineitem)
+ WHERE u >= 0 AND v >= 0 AND u < 64 AND v < 64)"""
+
+
 def clip_extent(spark, sf):
     g = grids(spark, sf).withColumn("srid", F.lit(4326))
     d = sample.clip_extent(pixels(spark, sf), g, (10.2, 5.3, 30.7, 40.1))
@@ -434,6 +486,31 @@ c AS (SELECT DISTINCT l_linenumber AS raster_id, r AS row, k AS col, k+0.5 AS px
  FROM lineitem, (SELECT unnest(range(64))::INT AS r), (SELECT unnest(range(64))::INT AS k))
 SELECT raster_id, row, col, max(fid) * 1.5 AS value FROM c JOIN m ON px > x AND py > y AND (px - x) / 10 + (py - y) / 6 < 1 GROUP BY ALL""",
     ),
+    "reproject_nearest": (
+        reproject_nearest,
+        _sql(
+            """SELECT s.raster_id, s.row, s.col, round(value,6) AS value FROM src s
+ JOIN pixels p ON p.raster_id = s.raster_id AND p.row = floor(v)::INT AND p.col = floor(u)::INT""",
+            _WARP_SQL,
+        ),
+    ),
+    "reproject_bilinear": (
+        reproject_bilinear,
+        _sql(
+            """SELECT raster_id, row, col, round(sum(w*value)/sum(w),4) AS value FROM (
+ SELECT s.raster_id, s.row, s.col, value, (1-abs(v-0.5-p.row))*(1-abs(u-0.5-p.col)) AS w FROM src s, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j), pixels p
+ WHERE p.raster_id = s.raster_id AND p.row = floor(v-0.5)::INT + i AND p.col = floor(u-0.5)::INT + j) WHERE w > 0 GROUP BY ALL""",
+            _WARP_SQL,
+        ),
+    ),
+    "reproject_average": (
+        reproject_average,
+        _sql(
+            f"""SELECT raster_id, floor((7500700-y)/90)::INT AS row, floor((x-299500)/90)::INT AS col, round(avg(value),6) AS value
+ FROM ({_utm_sql("lon", "lat")}) WHERE x >= 299500 AND y <= 7500700 AND x < 302200 AND y > 7498000 GROUP BY 1, 2, 3""",
+            "spots AS (SELECT raster_id, value, -52.9505 + (col+0.5)*0.0004 AS lon, -22.5905 - (row+0.5)*0.0003 AS lat FROM pixels)",
+        ),
+    ),
     "clip_extent": (
         clip_extent,
         _sql("SELECT raster_id, row, col FROM pixels WHERE col+0.5 BETWEEN 10.2 AND 30.7 AND 63.5-row BETWEEN 5.3 AND 40.1"),
