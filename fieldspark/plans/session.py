@@ -13,6 +13,11 @@ def tuned(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Typed state of the live strips.
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.ui.showConsoleProgress", "false")
         # Call-site capture costs more than building the column it is for.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

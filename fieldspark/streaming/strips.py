@@ -1,17 +1,21 @@
-"""Live strip segmentation: per vehicle the last few points and the open strip as state."""
+"""Live strip segmentation: per vehicle the last few points and the open strip as typed state.
+
+State lives in the store of the streaming query (RocksDB, which `plans.session.tuned` sets): a list of waiting points, a
+list of the last points given out, and the open strip.  A list never holds more than ``window`` + 1 points, whatever the
+vehicle sends, and silence is an event-time timer.
+"""
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = "vehicle string, fid bigint, ts double, shot bigint, brk boolean"
-STATE = "points string, shot bigint, newest double"
+_POINT = "ts double, fid bigint, x double, y double"
 
 
 def _azimuth(p: list, q: list) -> float:
@@ -39,6 +43,90 @@ def _breaks(points: list, i: int, window: int, severe: float, max_distance: floa
     return min(d, 360.0 - d) > severe
 
 
+class StripProcessor(StatefulProcessor):
+    """Strip numbers of one vehicle's points; points are [ts, fid, x, y] and, once given out, their strip."""
+
+    def __init__(self, window: int, severe: float, max_distance: float, idle_seconds: int):
+        self.window, self.severe, self.max_distance, self.idle_seconds = window, severe, max_distance, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _POINT)
+        self.given = handle.getListState("given", _POINT + ", shot bigint")
+        self.open = handle.getValueState("open", "shot bigint, newest double, due bigint")
+
+    def _line(self) -> tuple[list, list, int, float, int | None]:
+        """Points given out, waiting points, the open strip, the newest time and the timer."""
+        given = [list(p) for p in self.given.get()] if self.given.exists() else []
+        waiting = [list(p) for p in self.waiting.get()] if self.waiting.exists() else []
+        shot, newest, due = self.open.get() if self.open.exists() else (1, float("-inf"), None)
+        return given, waiting, shot, newest, due
+
+    def _give(self, key: tuple, given: list, waiting: list, shot: int, until: int) -> tuple[list, list, int]:
+        """(rows, points given out, strip) once the points before place `until` are given out."""
+        waiting.sort(key=lambda p: (p[0], p[1]))
+        line, rows, shots = [p[:4] for p in given] + waiting, [], [p[4] for p in given]
+        for i in range(len(given), max(until, len(given))):
+            brk = _breaks(line, i, self.window, self.severe, self.max_distance)
+            shot += brk
+            shots.append(shot)
+            rows.append((key[0], line[i][1], line[i][0], shot, brk))
+        done = len(shots)
+        keep = slice(max(0, done - self.window - 1), done)
+        last = [(*p, s) for p, s in zip(line[keep], shots[keep], strict=True)]
+        _store(self.waiting, [tuple(p) for p in line[done:]])
+        return rows, last, shot
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        given, waiting, shot, newest, due = self._line()
+        last, out = ((given[-1][0], given[-1][1]) if given else (float("-inf"), 0)), []
+        for pdf in rows:
+            for r in pdf.itertuples(index=False):
+                p = [float(r.ts), int(r.fid), float(r.x), float(r.y)]
+                newest = max(newest, p[0])
+                if (p[0], p[1]) > last:
+                    waiting.append(p)
+                else:
+                    before = [h for h in given if (h[0], h[1]) < (p[0], p[1])]
+                    out.append((key[0], p[1], p[0], (before or given[:1])[-1][4], False))
+        more, kept, shot = self._give(key, given, waiting, shot, len(given) + len(waiting) - self.window)
+        _store(self.given, kept)
+        if due is not None:
+            self.handle.deleteTimer(due)
+        due = max(int((newest + self.idle_seconds) * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(due)
+        self.open.update((shot, newest, due))
+        yield _frame(out + more)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        given, waiting, shot, newest, due = self._line()
+        if due is None or due > expiredTimerInfo.getExpiryTimeInMs():
+            # A timer that later points have put off.
+            yield _frame([])
+            return
+        rows, _, shot = self._give(key, given, waiting, shot, len(given) + len(waiting))
+        self.given.clear()
+        # What comes after the silence begins the next strip.
+        self.open.update((shot + (len(given) + len(rows) > 0), newest, None))
+        yield _frame(rows)
+
+    def close(self) -> None:
+        pass
+
+
+def _store(state, rows: list[tuple]) -> None:
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+    kinds = {"vehicle": "object", "fid": "int64", "ts": "float64", "shot": "int64", "brk": "bool"}
+    return pd.DataFrame(rows, columns=names).astype(kinds)
+
+
 def stream_strips(
     points: DataFrame,
     window: int = 2,
@@ -55,42 +143,6 @@ def stream_strips(
     one that belongs before points already given out joins the strip of the point
     before it.
     """
-    keep = window + 1
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Points are [ts, fid, x, y, strip], strip 0 for those that still wait.
-        stored = state.getOption or ("[]", 1, float("-inf"))
-        buffer, shot, newest = json.loads(stored[0]), int(stored[1]), float(stored[2])
-        history = [p for p in buffer if p[4]]
-        waiting, out = [p for p in buffer if not p[4]], []
-        last = (history[-1][0], history[-1][1]) if history else (float("-inf"), 0)
-        for pdf in parts:
-            for r in pdf.itertuples(index=False):
-                p = [float(r.ts), int(r.fid), float(r.x), float(r.y), 0]
-                newest = max(newest, p[0])
-                if (p[0], p[1]) > last:
-                    waiting.append(p)
-                else:
-                    before = [h for h in history if (h[0], h[1]) < (p[0], p[1])]
-                    out.append((key[0], p[1], p[0], (before or history[:1])[-1][4], False))
-        waiting.sort(key=lambda p: (p[0], p[1]))
-        line = history + waiting
-        until = len(line) if state.hasTimedOut else max(len(history), len(line) - window)
-        for i in range(len(history), until):
-            brk = _breaks(line, i, window, severe, max_distance)
-            shot += brk
-            line[i][4] = shot
-            out.append((key[0], line[i][1], line[i][0], shot, brk))
-        if state.hasTimedOut:
-            state.update(("[]", shot + (len(line) > 0), newest))
-        else:
-            state.update((json.dumps(line[max(0, until - keep) :]), shot, newest))
-            due = int((newest + idle_seconds) * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["vehicle", "fid", "ts", "shot", "brk"])
-
-    return (
-        points.withWatermark("event_time", delay)
-        .groupBy("vehicle")
-        .applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    processor = StripProcessor(window, severe, max_distance, idle_seconds)
+    watched = points.withWatermark("event_time", delay).groupBy("vehicle")
+    return watched.transformWithStateInPandas(processor, OUTPUT, "append", "EventTime")
