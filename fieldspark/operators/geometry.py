@@ -130,7 +130,9 @@ def regular_grid(
     """Cells of a regular grid over the layer extent that intersect a feature.
 
     Every feature lists the cells its box touches, so the work grows with the
-    features and not with the empty part of the extent.
+    features and not with the empty part of the extent.  Ids run down the columns
+    from the left, as numbers in the whole grid: rectangles and points by (col, row);
+    of lines the horizontal ones (col is null) come first, then the vertical ones.
     """
     from fieldspark.operators.spatial import with_box
 
@@ -157,17 +159,20 @@ def regular_grid(
         along = d.withColumn("col", F.explode(span(c0, c1, ncols, True))).withColumn("row", F.explode(none))
         flat = F.array(geo.point(F.col("x0"), top), geo.point(F.col("x0") + ncols * dx, top))
         tall = F.array(geo.point(left, F.col("y0")), geo.point(left, F.col("y0") - nrows * dy))
-        parts = [across.withColumn("_g", flat), along.withColumn("_g", tall)]
-        hits = parts[0].unionByName(parts[1])
-        hits = hits.filter(intersects(F.col("_g"), "line", F.col(geom), feature_kind))
-        return hits.groupBy("row", "col").agg(F.first("_g").alias("geom"))
+        across = across.withColumns({"_g": flat, "_id": F.col("row") + 1})
+        along = along.withColumns({"_g": tall, "_id": nrows + 1 + F.col("col") + 1})
+        hits = across.unionByName(along).filter(intersects(F.col("_g"), "line", F.col(geom), feature_kind))
+        # All lines of an id are equal.
+        found = hits.groupBy(F.col("_id").alias("id"), "row", "col").agg(F.first("_g").alias("geom"))
+        return found.select("id", "row", "col", "geom")
     points = kind == "point"
     d = d.withColumn("row", F.explode(span(r0, r1, nrows, points)))
     d = d.withColumn("col", F.explode(span(c0, c1, ncols, points)))
     if points:
-        d = d.withColumn("_g", geo.point(left, top))
+        d = d.withColumns({"_g": geo.point(left, top), "_id": F.col("col") * (nrows + 1) + F.col("row") + 1})
         hits = d.filter(intersects(F.col("_g"), "point", F.col(geom), feature_kind))
-        return hits.groupBy("row", "col").agg(F.first("_g").alias("geom"))
+        found = hits.groupBy(F.col("_id").alias("id"), "row", "col").agg(F.first("_g").alias("geom"))
+        return found.select("id", "row", "col", "geom")
     right, bottom = left + dx, top - dy
     ring = F.array(
         geo.point(left, top), geo.point(right, top), geo.point(right, bottom), geo.point(left, bottom)

@@ -44,8 +44,8 @@ def align(
 ) -> DataFrame:
     """Put layers on the same grid side by side, one column each.
 
-    Without ``grids`` the rasters share one grid.  With them every layer is put on the grid of raster ``to`` by
-    world position, those named in ``bilinear`` by that kernel and the others by the nearest cell, and pixels
+    Without ``grids`` the rasters share one grid.  With them every layer is put on the grid ``to`` (or that of the
+    raster ``to``) by world position, those named in ``bilinear`` by that kernel and the others by the nearest cell, and pixels
     without data count as absent.  One scan and one shuffle on the cell whatever the number of layers.  A layer
     that has several pixels in a cell is an error: its condition leaves out the raster or the band.
     """
@@ -54,9 +54,9 @@ def align(
         keep = keep | cond
     chosen = pixels.filter(keep)
     if grids is not None:
-        from fieldspark.operators.resample import grid_of, resample
+        from fieldspark.operators.resample import Grid, grid_of, resample
 
-        target = grid_of(grids, to)
+        target = to if isinstance(to, Grid) else grid_of(grids, to)
         parts = []
         for method in ("nearest", "bilinear"):
             names = [n for n in layers if (n in bilinear) == (method == "bilinear")]
@@ -112,9 +112,16 @@ def gli(
     out_id="gli",
     grids: DataFrame | None = None,
     to=None,
+    resolution: float | None = None,
 ) -> DataFrame:
-    """Green leaf index of the chosen bands; pixels with alpha up to 250 are nodata."""
+    """Green leaf index of the chosen bands; pixels with alpha up to 250 are nodata.
+
+    ``resolution`` first puts the bands on cells of that size over the extent of raster ``to``, nearest values."""
     layers = {"_r": red, "_g": green, "_b": blue}
+    if resolution:
+        from fieldspark.operators.resample import grid_of, with_cell
+
+        to = with_cell(grid_of(grids, to), resolution)
     if alpha is not None:
         layers["_alpha"] = alpha
     d = align(pixels, layers, grids=grids, to=to).filter(
@@ -279,10 +286,18 @@ def extract_band(pixels: DataFrame, band: int) -> DataFrame:
     return pixels.filter(F.col("band") == band).withColumn("band", F.lit(1))
 
 
-def stack_bands(bands: Seq[DataFrame], out_id="stack") -> DataFrame:
-    """Single-band pixel tables on one grid as bands 1..n of one raster."""
-    out = None
+def stack_bands(bands: Seq[DataFrame], out_id="stack", grids: DataFrame | None = None) -> DataFrame:
+    """Single-band pixel tables as bands 1..n of one raster.
+
+    Without ``grids`` they share one grid.  With them bands of any resolution are put on `finest_grid` of their
+    rasters, nearest values; ``grids`` then holds those rasters and no others."""
+    out, target = None, None
+    if grids is not None:
+        from fieldspark.operators.resample import finest_grid, resample
+
+        target = finest_grid(grids)
     for i, b in enumerate(bands, 1):
+        b = resample(b.withColumn("band", F.lit(1)).select(*PIXEL), grids, target) if target else b
         part = b.select(
             F.lit(out_id).alias("raster_id"), F.lit(i).alias("band"), *CELL, F.col("value")
         )

@@ -40,6 +40,27 @@ def grid_of(grids: DataFrame, raster_id) -> Grid:
     return Grid(row["x0"], row["y0"], row["dx"], row["dy"], row["ncols"], row["nrows"])
 
 
+def with_cell(g: Grid, cell: float) -> Grid:
+    """The same corner and extent in square cells of another size; the last ones may reach beyond it."""
+    count = lambda n, size: max(1, math.ceil(n * size / cell - 1e-9))
+    return Grid(g.x0, g.y0, cell, cell, count(g.ncols, g.dx), count(g.nrows, g.dy))
+
+
+def finest_grid(grids: DataFrame) -> Grid:
+    """Cells of the finest width and height over the common extent of all rasters."""
+    right, bottom = F.col("x0") + F.col("ncols") * F.col("dx"), F.col("y0") - F.col("nrows") * F.col("dy")
+    e = grids.agg(
+        F.min("x0").alias("x0"), F.max("y0").alias("y0"), F.min("dx").alias("dx"), F.min("dy").alias("dy"),
+        F.max(right).alias("x1"), F.min(bottom).alias("y1"), F.count_distinct("srid").alias("systems"),
+    ).first()
+    if e.x0 is None:
+        raise ValueError("no rasters")
+    if e.systems > 1:
+        raise ValueError("rasters of several systems; reproject them first")
+    count = lambda span, size: max(1, math.ceil(span / size - 1e-9))
+    return Grid(e.x0, e.y0, e.dx, e.dy, count(e.x1 - e.x0, e.dx), count(e.y0 - e.y1, e.dy))
+
+
 def _with_grid(pixels: DataFrame, grids: DataFrame) -> DataFrame:
     g = grids.select(
         "raster_id",

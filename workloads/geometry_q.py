@@ -193,6 +193,21 @@ FROM cells JOIN dt ON dt.x BETWEEN x0+col*7 AND x0+(col+1)*7 AND dt.y BETWEEN y0
 )
 
 
+def regular_grid_points(spark, sf):
+    d = geometry.regular_grid(_boxes(spark, sf), 1.7, 1.3, "point")
+    return d.select("id", "row", "col", F.round(F.col("geom").x, 6).alias("x"), F.round(F.col("geom").y, 6).alias("y"))
+
+
+def regular_grid_lines(spark, sf):
+    d = geometry.regular_grid(_boxes(spark, sf), 1.7, 1.3, "line")
+    last = F.element_at("geom", -1)
+    return d.select("id", "row", "col", F.round(last.x, 6).alias("x"), F.round(last.y, 6).alias("y"))
+
+
+_GRID_OF_BOXES = """e AS (SELECT min(x0) AS gx, max(y1) AS gy, ceil((max(x1)-min(x0))/1.7::DOUBLE)::BIGINT AS nc, ceil((max(y1)-min(y0))/1.3::DOUBLE)::BIGINT AS nr FROM bx),
+r AS (SELECT unnest(range(0,200)) AS row), c AS (SELECT unnest(range(0,2000)) AS col)"""
+
+
 def offset_lines(spark, sf):
     s = table(spark, sf, "supplier")
     line = F.array(
@@ -272,6 +287,24 @@ REGISTRY = {
     ),
     "reverse_geocode": (reverse_geocode, GEOCODE_SQL),
     "regular_grid": (regular_grid, GRID_SQL),
+    "regular_grid_points": (
+        regular_grid_points,
+        with_sql(
+            [_BOXES_SQL, _GRID_OF_BOXES],
+            """SELECT DISTINCT (col*(nr+1)+row+1)::BIGINT AS id, row, col, round(gx+col*1.7::DOUBLE,6) AS x, round(gy-row*1.3::DOUBLE,6) AS y
+FROM e, r, c JOIN bx ON gx+col*1.7::DOUBLE BETWEEN x0 AND x1 AND gy-row*1.3::DOUBLE BETWEEN y0 AND y1 WHERE row <= nr AND col <= nc""",
+        ),
+    ),
+    "regular_grid_lines": (
+        regular_grid_lines,
+        with_sql(
+            [_BOXES_SQL, _GRID_OF_BOXES],
+            """SELECT DISTINCT (row+1)::BIGINT AS id, row, NULL::BIGINT AS col, round(gx+nc*1.7::DOUBLE,6) AS x, round(gy-row*1.3::DOUBLE,6) AS y
+FROM e, r JOIN bx ON gy-row*1.3::DOUBLE BETWEEN y0 AND y1 WHERE row <= nr UNION ALL
+SELECT DISTINCT (nr+1+col+1)::BIGINT, NULL::BIGINT, col, round(gx+col*1.7::DOUBLE,6), round(gy-nr*1.3::DOUBLE,6)
+FROM e, c JOIN bx ON gx+col*1.7::DOUBLE BETWEEN x0 AND x1 WHERE col <= nc""",
+        ),
+    ),
     "offset_lines": (offset_lines, OFFSET_SQL),
     "utm_round_trip": (
         utm_round_trip,

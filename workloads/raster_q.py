@@ -322,6 +322,17 @@ def rasterize_polygons(spark, sf):
     return scanline.rasterize_polygons(masks, grids(spark, sf)).select("raster_id", "row", "col", "value")
 
 
+def gli_resampled(spark, sf):
+    return _out(raster.gli(pixels(spark, sf), layer(1), layer(2), layer(3), grids=grids(spark, sf), to=1, resolution=2.0))
+
+
+def stack_mixed(spark, sf):
+    """Bands of 1 m and 2 m cells with corners of their own."""
+    px, g = pixels(spark, sf), shifted_grids(spark, sf).filter(F.col("raster_id").isin(1, 4))
+    d = raster.stack_bands([px.filter(layer(1)), px.filter(layer(4))], grids=g)
+    return d.select("band", "row", "col", F.round("value", 6).alias("value"))
+
+
 _WARP_GRID = resample.Grid(-52.9505, -22.5905, 0.0004, 0.0003, 60, 70)
 
 
@@ -486,6 +497,17 @@ c AS (SELECT DISTINCT l_linenumber AS raster_id, r AS row, k AS col, k+0.5 AS px
  FROM lineitem, (SELECT unnest(range(64))::INT AS r), (SELECT unnest(range(64))::INT AS k))
 SELECT raster_id, row, col, max(fid) * 1.5 AS value FROM c JOIN m ON px > x AND py > y AND (px - x) / 10 + (py - y) / 6 < 1 GROUP BY ALL""",
     ),
+    "gli_resampled": (
+        gli_resampled,
+        _sql("SELECT row//2 AS row, col//2 AS col, round((2*b-a-c)/(2*b+a+c+1e-10),6) AS value FROM ab WHERE a+b+c IS NOT NULL AND row%2=1 AND col%2=1", _AB),
+    ),
+    "stack_mixed": (
+        stack_mixed,
+        _sql(
+            """SELECT 1 AS band, row+1 AS row, col, round(value,6) AS value FROM pixels WHERE raster_id = 1 UNION ALL
+ SELECT 2, 2*row+i, 2*col+j, round(value,6) FROM pixels, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j) WHERE raster_id = 4"""
+        ),
+    ),
     "reproject_nearest": (
         reproject_nearest,
         _sql(
