@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from fnmatch import fnmatch
 from typing import BinaryIO
@@ -37,6 +38,23 @@ def open_file(uri: str) -> BinaryIO:
     return open(path, "rb") if store is None else store.open_input_file(path)
 
 
+def create_file(uri: str, content: bytes) -> None:
+    """A file in a shared folder: written under another name first, so a repeated or lost attempt leaves no half file."""
+    store, path = _store(uri)
+    folder, _, name = path.rpartition("/")
+    attempt = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    if store is None:
+        os.makedirs(folder, exist_ok=True)
+        with open(attempt, "wb") as f:
+            f.write(content)
+        os.replace(attempt, path)
+        return
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(attempt) as f:
+        f.write(content)
+    store.move(attempt, path)
+
+
 def sizes(uri: str, pattern: str = "*") -> dict[str, int]:
     """Sizes of the files below a folder, or of one file; names that begin with . or _ are left out."""
     store, path = _store(uri)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo
-from fieldspark.operators import raster, resample, sample, scanline, warp
+from fieldspark.operators import focal, raster, resample, sample, scanline, warp
 from fieldspark.operators.raster import layer
 from workloads.inputs import PIXELS_SQL, SHIFTED_SQL, grids, pixels, shifted_grids, table, two_bands, with_sql
 from workloads.tables_q import _round
@@ -333,6 +333,24 @@ def stack_mixed(spark, sf):
     return d.select("band", "row", "col", F.round("value", 6).alias("value"))
 
 
+def focal_mean(spark, sf):
+    d = focal.focal(pixels(spark, sf), 5, "mean", tile=16)
+    return _round(d.drop("band"))
+
+
+def focal_gaps(spark, sf):
+    """Weighted means, also where a pixel is nodata."""
+    px = pixels(spark, sf).withColumn("value", F.when((F.col("row") + F.col("col")) % 3 == 0, -9999.0).otherwise(F.col("value")))
+    d = focal.focal(px, 3, nodata=-9999.0, weights=[[1, 2, 1], [2, 4, 2], [1, 2, 1]], gaps=True, tile=16)
+    return _round(d.drop("band"))
+
+
+def fill_nodata(spark, sf):
+    px = pixels(spark, sf).filter((F.col("row") * 7 + F.col("col") * 3) % 11 < 2)
+    d = focal.fill_nodata(px, grids(spark, sf), 6.0)
+    return _round(d.drop("band"))
+
+
 _WARP_GRID = resample.Grid(-52.9505, -22.5905, 0.0004, 0.0003, 60, 70)
 
 
@@ -508,6 +526,30 @@ SELECT raster_id, row, col, max(fid) * 1.5 AS value FROM c JOIN m ON px > x AND
  SELECT 2, 2*row+i, 2*col+j, round(value,6) FROM pixels, (SELECT unnest([0,1]) AS i), (SELECT unnest([0,1]) AS j) WHERE raster_id = 4"""
         ),
     ),
+    "focal_mean": (
+        focal_mean,
+        _sql(
+            """SELECT p.raster_id, p.row, p.col, round(avg(q.value),6) AS value FROM pixels p, (SELECT unnest(range(-2,3)) AS i), (SELECT unnest(range(-2,3)) AS j)
+ JOIN pixels q ON q.raster_id = p.raster_id AND q.row = p.row + i AND q.col = p.col + j GROUP BY 1, 2, 3"""
+        ),
+    ),
+    "focal_gaps": (
+        focal_gaps,
+        _sql(
+            """SELECT p.raster_id, p.row, p.col, round(sum((2-abs(i))*(2-abs(j))*q.value)/sum((2-abs(i))*(2-abs(j))),6) AS value
+ FROM pixels p, (SELECT unnest(range(-1,2)) AS i), (SELECT unnest(range(-1,2)) AS j)
+ JOIN pixels q ON q.raster_id = p.raster_id AND q.row = p.row + i AND q.col = p.col + j AND (q.row + q.col) % 3 <> 0 GROUP BY 1, 2, 3"""
+        ),
+    ),
+    "fill_nodata": (
+        fill_nodata,
+        _sql(
+            """SELECT raster_id, row, col, round(arg_min(value, rank),6) AS value FROM (
+ SELECT q.raster_id, q.row + i AS row, q.col + j AS col, q.value, (i*i+j*j) * 10000 + q.row * 100 + q.col AS rank
+ FROM pixels q, (SELECT unnest(range(-6,7))::INT AS i), (SELECT unnest(range(-6,7))::INT AS j) WHERE (q.row*7+q.col*3) % 11 < 2 AND i*i+j*j <= 36)
+ WHERE row BETWEEN 0 AND 63 AND col BETWEEN 0 AND 63 GROUP BY 1, 2, 3"""
+        ),
+    ),
     "reproject_nearest": (
         reproject_nearest,
         _sql(
