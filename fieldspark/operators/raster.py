@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.plans.keyjoin import join_on
-from fieldspark.plans.quantiles import order_statistics
+from fieldspark.plans.quantiles import order_statistics, quantiles_of, sketches
 
 NODATA = -9999.0
 CELL = ("row", "col")
@@ -312,11 +312,14 @@ def alpha_mask(pixels: DataFrame, nodata: float, tolerance: float = 1e-6) -> Dat
 
 
 def stretch_limits(
-    pixels: DataFrame, low: float = 0.02, high: float = 0.98, nodata: float | None = None
+    pixels: DataFrame, low: float = 0.02, high: float = 0.98, nodata: float | None = None, sketch: int | None = None
 ) -> DataFrame:
-    """Display limits per band: the lowest low and the highest high percentile of all rasters."""
+    """Display limits per band: the lowest low and the highest high percentile of all rasters.
+
+    ``sketch`` takes them from sketches of that size, in one pass and bounded memory."""
     px = pixels.filter(valid(F.col("value"), nodata))
-    per = order_statistics(px, ["raster_id", "band"], "value", {"low": low, "high": high})
+    keys, wanted = ["raster_id", "band"], {"low": low, "high": high}
+    per = quantiles_of(sketches(px, keys, "value", sketch), keys, wanted) if sketch else order_statistics(px, keys, "value", wanted)
     return per.groupBy("band").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 

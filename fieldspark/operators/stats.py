@@ -117,14 +117,22 @@ def attribute_statistics(
 
 
 def percentile_stats(
-    df: DataFrame, value: str, group_by: Seq[str] = (), decimals: int = 2, cut: bool | None = None
+    df: DataFrame, value: str, group_by: Seq[str] = (), decimals: int = 2, cut: bool | None = None, sketch: int | None = None
 ) -> DataFrame:
-    """Mean, p5, p95 and their range with floor-index percentiles."""
+    """Mean, p5, p95 and their range with floor-index percentiles.
+
+    ``sketch`` is the size of a sketch to take the percentiles from: one pass over the rows in bounded memory, ranks
+    within `plans.quantiles.rank_error` of that size."""
     group = list(group_by)
     rows = df.select(*group, F.col(value).cast("double").alias("_x")).filter(finite(F.col("_x")))
-    means = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("count"), F.avg("_x").alias("_mean"))
-    pct = order_statistics(rows, group, "_x", {"_p5": 0.05, "_p95": 0.95}, "floor", cut=cut)
-    both = join_on(means, pct, group)
+    wanted = {"_p5": 0.05, "_p95": 0.95}
+    mean = [F.count(F.lit(1)).alias("count"), F.avg("_x").alias("_mean")]
+    if sketch:
+        state = rows.groupBy(*group).agg(*mean, F.kll_sketch_agg_double("_x", F.lit(sketch)).alias("sketch"))
+        pick = lambda q: F.when(F.col("count") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+        both = state.select(*group, "count", "_mean", *[pick(q).alias(n) for n, q in wanted.items()])
+    else:
+        both = join_on(rows.groupBy(*group).agg(*mean), order_statistics(rows, group, "_x", wanted, "floor", cut=cut), group)
     return both.select(
         *group,
         "count",

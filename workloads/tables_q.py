@@ -75,6 +75,22 @@ def percentile_stats(spark, sf):
     return stats.percentile_stats(table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"])
 
 
+def sketch_percentiles(spark, sf):
+    """Percentiles from daily sketches that are merged, and whether their true ranks are within the stated error."""
+    from fieldspark.plans import quantiles
+
+    li = table(spark, sf, "lineitem").select("l_returnflag", "l_shipdate", F.col("l_extendedprice").cast("double").alias("price"))
+    wanted = {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+    daily = quantiles.sketches(li, ["l_returnflag", "l_shipdate"], "price", 1024)
+    whole = quantiles.quantiles_of(quantiles.merge_sketches(daily, ["l_returnflag"], 1024), ["l_returnflag"], wanted)
+    # One row a flag against all rows.
+    ranked = li.join(F.broadcast(whole), "l_returnflag").groupBy("l_returnflag", "count").agg(
+        *[F.avg((F.col("price") <= F.col(n)).cast("double")).alias(n) for n in wanted]
+    )
+    error = quantiles.rank_error(1024)
+    return ranked.select("l_returnflag", "count", *[(F.abs(F.col(n) - q) <= error + 1 / F.col("count")).alias(n) for n, q in wanted.items()])
+
+
 PERCENTILE_SQL = """WITH v AS (SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS x,
   row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i,
   count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
@@ -489,6 +505,10 @@ REGISTRY = {
     ),
     "attribute_mode": (attribute_mode, MODE_SQL),
     "percentile_stats": (percentile_stats, PERCENTILE_SQL),
+    "sketch_percentiles": (
+        sketch_percentiles,
+        "SELECT l_returnflag, count(*) AS count, TRUE AS p5, TRUE AS p50, TRUE AS p95 FROM lineitem GROUP BY l_returnflag",
+    ),
     "difference_fields": (difference_fields, DIFF_SQL),
     "point_xy": (
         point_xy,
