@@ -203,7 +203,7 @@ def test_pipeline(spark, sf, texts):
     for i, t in docs.items():
         own = [x for n, x in enumerate(t.split("\n")) if first[i, n] == (i, n)]
         whole = len(own) == t.count("\n") + 1
-        if whole or len("\n".join(own)) >= 0.2 * len(t):
+        if whole or any(len(brute.compared(x)) >= line_dedup.MIN_CHARS for x in own):
             left[i] = "\n".join(own)
     group = brute.near_duplicates(left, 5, 80)
     docs = {i: t for i, t in left.items() if group[i][1] == i}
