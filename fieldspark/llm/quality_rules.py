@@ -49,20 +49,32 @@ RULES = (
 )
 
 
+COUNTS = (
+    "n_words", "word_chars", "n_repeat_words", "n_stop_words", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines",
+    "n_symbols", "n_capitals",
+)
+RATIOS = (
+    "mean_word_length", "symbol_ratio", "stop_word_ratio", "dup_line_ratio", "ellipsis_line_ratio", "bullet_line_ratio", "capital_ratio",
+)
+
+
 def _repeated_places(words: Column) -> Column:
     """How many words stand in a three-word window that the text holds twice or more.
 
-    Keys of (window hash, place) are sorted; equal neighbours are compared by their words, so a hash collision never
-    counts, and the windows' places are merged into a count of covered words."""
+    Keys of (some bits of the window's hash, place) are sorted, so equal windows are neighbours unless another window
+    with the same bits lies between them.  Where neighbours with the same bits have other words, which few texts have,
+    the windows are sorted by their words instead; so a collision neither adds nor hides a repeat.  The windows' places
+    are merged into a count of covered words."""
     mask = F.lit((1 << PLACE_BITS) - 1).cast("long")
 
     def key(i):
         h = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
         return F.shiftleft(h, PLACE_BITS).bitwiseOR(i.cast("long"))
 
-    def same(a, b):
-        i, j = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
-        alike = F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
+    place = lambda k: k.bitwiseAND(mask).cast("int")
+
+    def same_words(i, j):
+        alike = F.lit(True)
         for d in range(3):
             alike = alike & (F.get(words, i + d) == F.get(words, j + d))
         return alike
@@ -71,17 +83,37 @@ def _repeated_places(words: Column) -> Column:
         gaps = F.transform(places, lambda p, k: F.coalesce(F.least(F.get(places, k + 1) - p, F.lit(3)), F.lit(3)))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
+    def places(keys, found, of):
+        """Places of the windows with these indices, which equal the one before, and of those before."""
+        at = F.concat(found, F.transform(found, lambda k: k - 1))
+        return F.array_sort(F.array_distinct(F.transform(at, lambda k: of(F.get(keys, k)))))
+
+    # The last index twice for one key alone: nothing equals itself here, as index 0 has no neighbour before it.
+    neighbours = lambda keys, test: F.filter(
+        F.sequence(F.lit(1), F.greatest(F.size(keys) - 1, F.lit(1))), lambda k: test(F.get(keys, k), F.get(keys, k - 1))
+    )
+
+    def by_words(starts):
+        triples = F.sort_array(F.transform(starts, lambda i: F.struct(*[F.get(words, i + d).alias(f"w{d}") for d in range(3)], i.alias("i"))))
+
+        def count(keys):
+            equal = lambda a, b: (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"])
+            return let(neighbours(keys, equal), lambda found: let(places(keys, found, lambda k: k["i"]), covered))
+
+        return let(triples, count)
+
     def count(keys):
-        # Pairs of neighbours that are alike, as the right one's index.
-        hits = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.size(keys) - 1, F.lit(1))), lambda k: same(F.get(keys, k), F.get(keys, k - 1))
-        )
+        near = neighbours(keys, lambda a, b: F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS))
 
-        def places(found):
-            at = F.concat(found, F.transform(found, lambda k: k - 1))
-            return F.array_sort(F.array_distinct(F.transform(at, lambda k: F.get(keys, k).bitwiseAND(mask).cast("int"))))
+        def confirmed(near):
+            hits = F.filter(near, lambda k: same_words(place(F.get(keys, k)), place(F.get(keys, k - 1))))
+            return let(
+                hits,
+                lambda found: F.when(F.size(found) < F.size(near), by_words(F.sequence(F.lit(0), F.size(words) - 3)))
+                .when(F.size(found) > 0, let(places(keys, found, place), covered)),
+            )
 
-        return F.coalesce(let(hits, lambda found: F.when(F.size(found) > 0, let(places(found), covered))), F.lit(0).cast("long"))
+        return F.coalesce(let(near, confirmed), F.lit(0).cast("long"))
 
     keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), key))
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(let(keys, count))
@@ -119,43 +151,64 @@ def metrics(text: str = "text") -> dict[str, Column]:
     }
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+def _share(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+def verdict(rules: tuple[Rule, ...] = RULES, text: str = "text") -> Column:
+    """One struct of counts, ratios, broken rules, base_failed and kept.
+
+    All of it is one expression whose parts are worked out once, so a filter on one of its fields that Spark moves
+    below the projection takes one evaluation with it and not one for each use of a count."""
+    found = metrics(text)
+
+    def counts(m):
+        fields = {k: m["w"][k] for k in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")}
+        fields |= {k: m["l"][k] for k in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
+        return F.struct(*[c.alias(k) for k, c in fields.items()], m["n_symbols"].alias("n_symbols"), m["n_capitals"].alias("n_capitals"))
+
+    def with_ratios(c):
+        ratios = {
+            "mean_word_length": _share(c["word_chars"], c["n_words"]),
+            "symbol_ratio": _share(c["n_symbols"], c["n_words"]),
+            "stop_word_ratio": _share(c["n_stop_words"], c["n_words"]),
+            "dup_line_ratio": _share(c["n_dup_lines"], c["n_lines"]),
+            "ellipsis_line_ratio": _share(c["n_ellipsis_lines"], c["n_lines"]),
+            "bullet_line_ratio": _share(c["n_bullet_lines"], c["n_lines"]),
+            "capital_ratio": _share(c["n_capitals"], c["word_chars"]),
+        }
+        return F.struct(*[c[k].alias(k) for k in COUNTS], *[r.alias(k) for k, r in ratios.items()])
+
+    def judged(r):
+        broken = F.array_compact(F.array(*[F.when(~r[x.metric].between(x.low, x.high), F.lit(x.name)) for x in rules]))
+        base = (r["n_words"] < 50) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
+
+        def with_verdict(b):
+            own = [r[k].alias(k) for k in (*COUNTS, *RATIOS)]
+            return F.struct(
+                *own, b["broken"].alias("broken_rules"), b["base"].alias("base_failed"),
+                (~b["base"] & (F.size(b["broken"]) == 0)).alias("kept"),
+            )
+
+        return let(F.struct(broken.alias("broken"), base.alias("base")), with_verdict)
+
+    whole = F.struct(*[c.alias(k) for k, c in found.items()])
+    return let(whole, lambda m: let(counts(m), lambda c: let(with_ratios(c), judged)))
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Every row with its counts, ratios, the names of the rules it breaks, base_failed and kept."""
-    found = docs.withColumns({f"__{k}": v for k, v in metrics(text).items()})
-    counts = {
-        **{k: F.col(f"__w.{k}") for k in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")},
-        **{k: F.col(f"__l.{k}") for k in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")},
-        "n_symbols": F.col("__n_symbols"),
-        "n_capitals": F.col("__n_capitals"),
-    }
-    ratios = {
-        "mean_word_length": _ratio("word_chars", "n_words"),
-        "symbol_ratio": _ratio("n_symbols", "n_words"),
-        "stop_word_ratio": _ratio("n_stop_words", "n_words"),
-        "dup_line_ratio": _ratio("n_dup_lines", "n_lines"),
-        "ellipsis_line_ratio": _ratio("n_ellipsis_lines", "n_lines"),
-        "bullet_line_ratio": _ratio("n_bullet_lines", "n_lines"),
-        "capital_ratio": _ratio("n_capitals", "word_chars"),
-    }
-    found = found.withColumns(counts).drop("__w", "__l", "__n_symbols", "__n_capitals").withColumns(ratios)
-    broken = F.array_compact(
-        F.array(*[F.when(~F.col(r.metric).between(r.low, r.high), F.lit(r.name)) for r in rules])
-    )
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return found.withColumns({"broken_rules": broken, "base_failed": base}).withColumn(
-        "kept", ~F.col("base_failed") & (F.size("broken_rules") == 0)
-    )
+    name = "verdict"
+    while name in docs.columns:
+        name += "_"
+    found = docs.withColumn(name, verdict(rules, text))
+    fields = (*COUNTS, *RATIOS, "broken_rules", "base_failed", "kept")
+    return found.withColumns({k: F.col(f"{name}.{k}") for k in fields}).drop(name)
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows that pass, with their own columns.  One projection and a filter, no shuffle."""
-    return judge(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text")), rules, "__text").filter(
-        "kept"
-    ).select("__row.*")
+    """The rows that pass, with their own columns.  One filter, no shuffle."""
+    return docs.filter(verdict(rules, text)["kept"])
 
 
 def oracle(rules: tuple[Rule, ...] = RULES) -> str:

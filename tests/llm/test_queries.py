@@ -35,19 +35,30 @@ def test_quality_rules_edges(spark, awkward, empty):
         assert (got[i].n_words, got[i].n_repeat_words, got[i].base_failed, got[i].kept) == (0, 0, True, False)
     assert got[4].n_words == 30_000 and got[4].n_repeat_words == 30_000
     assert got[7].n_words == 5 and got[7].word_chars == len("ÄÖß日本語\U0001f600text")
+    clashing = awkward.withColumnsRenamed({"class": "__w", "score": "n_words", "first": "verdict"})
+    same = {r.doc_id: r for r in quality_rules.judge(clashing).collect()}
+    assert same[4]["__w"] == "x" and same[4].verdict is None and same[4].n_words == 30_000
     assert quality_rules.keep(awkward).columns == awkward.columns
     assert quality_rules.keep(empty).count() == 0
 
 
 @pytest.mark.parametrize(
     "text, repeated",
-    [("a b c a b c", 6), ("a b c d a b c", 6), ("a a a a", 4), ("a b c", 0), ("a b a b a b", 6), ("x a b c y a b c z", 6)],
+    [("w233220 x y p1 w2541634 x y p2 w233220 x y p3", 6), ("w2541634 x y w233220 x y p2 w2541634 x y w233220 x y", 12), ("a b c a b c", 6), ("a b c d a b c", 6), ("a a a a", 4), ("a b c", 0), ("a b a b a b", 6), ("x a b c y a b c z", 6)],
 )
 def test_repeated_words(spark, text, repeated):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert quality_rules.judge(df).first().n_repeat_words == repeated
 
 
+def test_texts_are_cut_into_words_once(spark, sf):
+    """A filter on the verdict that moves below the projection takes one evaluation with it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for df in (quality_rules.keep(docs), quality_rules.judge(docs), quality_rules.keep(docs.withColumn("n_chars", docs.doc_id + 1))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1, plan.count("regexp_extract_all")
+
+
 def test_licenses(spark, awkward, empty):
     mit = license_scan._MIT
     docs = [
