@@ -1,15 +1,17 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
 Documents with equal shingle sets are one class and only its representative, the smallest id, goes on.  Each of TREES
-trees orders the representatives by its own order of the signature's values; a region of a tree is all that share
-a prefix of DEPTH values, and its members are each other's neighbours.
-
-Candidates are checked in two rounds.  First every region links its members with its smallest one.  Once the components
-of the confirmed links are known, what is left are regions with members in several components.  Where the members
-outside the largest component times all members are at most CROSS, all pairs across components are compared.  More
-crowded regions compare their members outside the largest component with two random members and are cut at the next
-of DEPTHS, so that depth follows how crowded a place is.  Only a link between documents that share nothing but regions
-which stay crowded to the deepest cut, and that none of these random members stands between, can be missed.
+trees sorts the representatives by its own order of the signature's values; a region of a tree is all that share
+a prefix of DEPTH values.
+
+Candidates are checked in three rounds.  First every region links its members with its smallest one.  Once the
+components of the confirmed links are known, what is left are regions with members in several components.  In these
+each member is compared with the next one in the tree's sorted order, which has the longest common prefix with it: the
+depth at which two are neighbours follows how crowded the place is.  Members still apart after that are joined exactly:
+the shingles of each set are put into one order from rare to frequent, and two sets at the limit share one of the first
+(100 - percent) percent of the larger and an even shorter beginning of the smaller one, so only pairs that meet there,
+with enough shingles left behind the place, are compared.  The order comes from a histogram of COUNTERS counters over all
+these sets; any order gives the same links.  No pair of a region is dropped for how crowded it is.
 
 A pair is dropped early only if its signatures differ so much that the limit is more than five standard deviations
 away; links are confirmed on the full shingle sets.
@@ -32,11 +34,17 @@ from pyspark.sql import functions as F
 
 from fieldspark.llm.common import written
 from fieldspark.llm.components import components
+from fieldspark.plans.ordered import Sequence
 from fieldspark.plans.sizing import broadcast_if_small
 
-TREES, DEPTH, DEPTHS = 24, 5, (5, 8, 12, 18)
+TREES, DEPTH = 24, 5
 SIGNATURE = TREES * DEPTH
-CROSS = 1024
+#: Values behind the prefix by which a tree sorts a region, packed by four into a number.
+DEEPER = 8
+#: Counters by which shingles are ordered from rare to frequent.
+COUNTERS = 1 << 18
+#: Members of a crowd of equal shingles that one task compares with others at a time.
+BLOCK = 4096
 #: Ids that may be broadcast to pick the documents whose sets are needed.
 MOST_IDS = 500_000
 KEPT_WORDS = 500_000
@@ -111,10 +119,19 @@ def described(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _regions(members: DataFrame, depth: int) -> DataFrame:
-    """members (tree, rep, signature) with the hash of the region they fall into at the depth."""
+def _regions(reps: DataFrame) -> DataFrame:
+    """region, rep and its sort keys in the region, for each tree."""
     at = lambda i: F.get("signature", (F.col("tree") * DEPTH + i) % SIGNATURE)
-    return members.withColumn("region", F.xxhash64("tree", F.lit(depth), *[at(i) for i in range(depth)]))
+    members = reps.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rep", "signature")
+
+    def packed(first: int):
+        key = F.lit(0).cast("long")
+        for i in range(first, first + 4):
+            key = F.shiftleft(key, 16).bitwiseOR(at(i).bitwiseAND(F.lit(0xFFFF)).cast("long"))
+        return key
+
+    keys = [packed(DEPTH + i).alias(f"key{i // 4}") for i in range(0, DEEPER, 4)]
+    return members.select(F.xxhash64("tree", *[at(i) for i in range(DEPTH)]).alias("region"), "rep", *keys)
 
 
 def _estimate_passes(limit: float):
@@ -126,9 +143,8 @@ def _estimate_passes(limit: float):
     return agree >= int(least * SIGNATURE)
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """The shingle set (as bytes) of each document that a pair needs."""
-    need = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+def _sets_of(docs: DataFrame, need: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """The shingle set (as bytes) of each document in need (rep)."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashed = Words()
@@ -138,11 +154,11 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, k: int)
     slim = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("t"))
     sets = slim.join(broadcast_if_small(need, MOST_IDS), "rep", "left_semi").mapInPandas(task, "rep long, set binary")
     # Rows that share an id: the same one of them for every pair.
-    return sets.groupBy("rep").agg(F.max("set").alias("set"))
+    return written(sets.groupBy("rep").agg(F.max("set").alias("set")), "sets")
 
 
-def _confirmed(docs, pairs, reps, doc_id, text, k, percent) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, reps: DataFrame, percent: int, sets_of) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; sets_of gives the sets of reps."""
     sig = reps.select("rep", "signature", "n_shingles")
     side = lambda c: sig.select(F.col("rep").alias(c), F.col("signature").alias(f"__s{c}"), F.col("n_shingles").alias(f"__n{c}"))
     likely = written(
@@ -151,7 +167,7 @@ def _confirmed(docs, pairs, reps, doc_id, text, k, percent) -> DataFrame:
         .filter(_estimate_passes(percent / 100)).select("a", "b"),
         "candidates",
     )
-    sets = written(_sets_of(docs, likely, doc_id, text, k), "sets")
+    sets = sets_of(likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct())
     both = likely.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b"
     )
@@ -168,46 +184,79 @@ def _confirmed(docs, pairs, reps, doc_id, text, k, percent) -> DataFrame:
     return written(both.select("a", "b", "x", "y").mapInPandas(task, "a long, b long"), "confirmed")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of a member outside its region's largest component with every member of another one."""
-    some = members.filter("component <> top").select("region", F.col("rep").alias("r"), F.col("component").alias("c"))
-    pairs = some.join(members.select("region", "rep", "component"), "region").filter("c <> component")
-    return pairs.select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of regions that hold several components, with their component."""
+    component = components(found).select(F.col("node").alias("rep"), "component")
+    named = shared.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = written(named, "named")
+    ends = named.groupBy("region").agg(F.min("component").alias("__low"), F.max("component").alias("__high"))
+    mixed = ends.filter("__low < __high").select("region")
+    return written(named.join(mixed, "region"), "mixed")
+
+
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
 
+def _neighbours(apart: DataFrame) -> DataFrame:
+    """(a, b): members of different components that follow each other in a tree's order."""
+    order = [*[f"key{i}" for i in range(DEEPER // 4)], "rep"]
+    following = lambda df, w: df.withColumns({"next": F.lead("rep").over(w), "other": F.lead("component").over(w)})
+    return _pairs(Sequence(apart, ["region"], order).bounded(1, following).result().filter("component <> other"), "rep", "next")
 
-def _with_random(members: DataFrame) -> DataFrame:
-    """Pairs of a member outside its region's largest component with a random member of it and one of the others."""
-    some = F.col("component") != F.col("top")
-    draw = F.xxhash64("rep", "region")
-    chosen = members.groupBy("region").agg(
-        F.min_by(F.when(some, F.col("rep")), F.when(some, draw)).alias("x"),
-        F.min_by(F.when(~some, F.col("rep")), F.when(~some, draw)).alias("y"),
+
+def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """shingle, rep, component, n, place: the beginning of each set, ordered from rare to frequent, that a partner must meet."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            flat = np.frombuffer(b"".join(b["set"]), np.uint64) % np.uint64(COUNTERS)
+            total += np.bincount(flat.astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"counter": at, "n": total[at]})
+
+    counted = sets.select("set").mapInPandas(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    often = np.zeros(COUNTERS, np.int64)
+    for r in counted.toLocalIterator():  # COUNTERS rows at most
+        often[r.counter] = r.n
+    shipped = sets.sparkSession.sparkContext.broadcast(often)
+
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shipped.value
+        for b in batches:
+            for rep, component, s in zip(b["rep"], b["component"], b["set"], strict=True):
+                s = np.frombuffer(s, np.uint64)
+                n = len(s) - -(-percent * len(s) // 100) + 1
+                first = s[np.lexsort((s, often[s % np.uint64(COUNTERS)]))[:n]]
+                yield pd.DataFrame({"shingle": first.view(np.int64), "rep": rep, "component": component, "n": len(s), "place": np.arange(n)})
+
+    return sets.select("rep", "component", "set").mapInPandas(begin, "shingle long, rep long, component long, n long, place long")
+
+
+def _exact(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all members of different components that may reach the limit, by the rarest shingles of their sets."""
+    named = sets.join(apart.select("rep", "component").distinct(), "rep")
+    rare = written(_rare_first(named, percent), "rare-shingles")
+    crowd = rare.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(
+        F.max_by("component", F.struct("n", "component")).alias("top"), F.min("component").alias("low"),
+        F.max("component").alias("high"), F.ceil(F.sum("n") / BLOCK).alias("blocks"),
+    ).filter("low < high").select("shingle", "top", "blocks")
+    rows = written(rare.join(crowd, "shingle").withColumn("in_top", F.expr("component = top")).drop("top"), "met-shingles")
+    # The smaller set of a pair at the limit shares 2 * percent / (100 + percent) of its shingles at least.
+    small = rows.filter(f"{100 + percent} * (n - place) >= {2 * percent} * n").select(
+        "shingle", "in_top", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"),
+        *[F.col(c).alias(f"{c}_x") for c in ("rep", "component", "n", "place")],
+    )
+    large = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).drop("blocks").withColumnRenamed("in_top", "large_top")
+    fits = F.expr(
+        f"component_x <> component and (n_x < n or (n_x = n and rep_x < rep)) and 100 * n_x >= {percent} * n"
+        f" and {100 + percent} * least(n_x - place_x, n - place) >= {percent} * (n_x + n)"
     )
-    pairs = members.filter(some).join(chosen, "region").select("rep", F.explode(F.array("x", "y")).alias("p"))
-    return pairs.filter("p <> rep").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-
-
-def _second_round(shared: DataFrame, group: DataFrame, reps: DataFrame) -> DataFrame:
-    """Candidates across components, at the depth where their region is not crowded."""
-    component = group.select(F.col("node").alias("rep"), "component")
-    members, found = shared.select("tree", "region", "rep"), None
-    for n, depth in enumerate(DEPTHS):
-        if n:
-            again = members.select("tree", "rep").join(reps.select("rep", "signature"), "rep")
-            members = _regions(again, depth).select("tree", "region", "rep")
-        named = written(members.join(component, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "named")
-        sizes = named.groupBy("region", "component").agg(F.count("*").alias("n"))
-        regions = sizes.groupBy("region").agg(
-            F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.max("n").alias("most")
-        )
-        mixed = written(named.join(regions.filter("most < n"), "region"), "mixed")
-        crowded = mixed.filter((F.col("n") - F.col("most")) * F.col("n") > CROSS)
-        pairs = _across(mixed.filter((F.col("n") - F.col("most")) * F.col("n") <= CROSS)).union(_with_random(crowded))
-        found = pairs if found is None else found.union(pairs)
-        members = crowded
-        if n + 1 < len(DEPTHS) and crowded.isEmpty():
-            break
-    return found.distinct()
+    met = lambda x, y: x.drop("in_top").join(y.drop("large_top"), ["shingle", "block"]).filter(fits).select("rep_x", "rep")
+    # One of a pair is outside the largest component of the crowd.
+    found = met(small.filter("not in_top"), large).union(met(small.filter("in_top"), large.filter("not large_top")))
+    return _pairs(found, "rep_x", "rep")
 
 
 def links(docs: DataFrame, described_docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -218,16 +267,25 @@ def links(docs: DataFrame, described_docs: DataFrame, doc_id: str, text: str, k:
                                    F.first("n_shingles").alias("n_shingles")),
         "classes",
     )
-    members = reps.select(F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rep", "signature")
-    placed = _regions(members, DEPTH).select("tree", "region", "rep")
+    placed = _regions(reps)
     several = placed.groupBy("region").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     shared = written(placed.join(written(several.select("region", "low"), "regions"), "region"), "shared")
-    stars = shared.filter("low < rep").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _confirmed(docs, stars, reps, doc_id, text, k, percent)
-    rest = written(_second_round(shared, components(first), reps).join(stars, ["a", "b"], "left_anti"), "rest")
+    sets_of = lambda need: _sets_of(docs, need, doc_id, text, k)
+    tried = written(_pairs(shared.filter("low < rep"), "low", "rep"), "tried")
+    found = _confirmed(tried, reps, percent, sets_of)
+    apart = _apart(shared.drop("low"), found)
+    near = written(_neighbours(apart).join(tried, ["a", "b"], "left_anti"), "tried")
+    if near.isEmpty():
+        return found, reps
+    linked = _confirmed(near, reps, percent, sets_of)
+    if not linked.isEmpty():
+        found = found.union(linked)
+        apart = _apart(shared.drop("low"), found)
+    sets = sets_of(apart.select("rep").distinct())
+    rest = written(_exact(apart, sets, percent).join(tried.union(near), ["a", "b"], "left_anti"), "tried")
     if rest.isEmpty():
-        return first, reps
-    return first.union(_confirmed(docs, rest, reps, doc_id, text, k, percent)), reps
+        return found, reps
+    return found.union(_confirmed(rest, reps, percent, lambda need: sets)), reps
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -56,6 +56,25 @@ def test_crowded_regions(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near_duplicates(docs, 3, 85)
 
 
+def test_template_around_the_limit(spark):
+    """Hundreds of texts of one template just under the limit and pairs just above it: no link is lost."""
+    r = random.Random(21)
+    base = [f"t{i}" for i in range(200)]
+
+    def copy(words, changes):
+        w = list(words)
+        for at in r.sample(range(len(w)), changes):
+            w[at] = f"u{r.randrange(10**9)}"
+        return w
+
+    strangers = [copy(base, 8) for _ in range(600)]
+    twins = [copy(x, 5) for x in strangers[:120]]
+    docs = dict(enumerate(" ".join(x) for x in strangers + twins))
+    got = near_duplicates.near_duplicates(frame(spark, docs), 3, 85).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == brute.near_duplicates(docs, 3, 85)
+    assert 500 < sum(x.kept for x in got) < 720
+
+
 def test_near_duplicates_edges(spark, awkward, empty):
     rows = near_duplicates.near_duplicates(awkward).collect()
     assert len(rows) == len(AWKWARD)
