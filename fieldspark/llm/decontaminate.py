@@ -2,7 +2,7 @@
 
 A seed is a fixed mask over SPAN words of which it ignores some; texts that differ only in ignored words have equal
 hashes.  The benchmark's hashes under all masks are looked up in every document's, and around each hit the two texts
-are compared word by word on their common alignment: the best stretch, in which a word that differs costs as much
+are compared word by word on their common alignment: every maximal stretch, in which a word that differs costs as much
 as four equal ones earn, is an overlap if it has MIN_WORDS words (all of a shorter item).
 
 Words are lower-cased and stripped of punctuation at their ends.  Items shorter than a mask are looked up whole.
@@ -129,14 +129,27 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[: end + 1] == low[end])[-1]), end
 
 
-def verified(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int = MIN_WORDS) -> tuple[int, int, int, int] | None:
-    """(doc start, item start, words, equal words) of the overlap on this alignment."""
+def stretches(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The best stretch, then those of what lies before and behind it, of all that have at least so many words; in order."""
+    found, parts = [], [(0, len(equal))]
+    while parts:
+        a, b = parts.pop()
+        if b - a < least:
+            continue
+        i, j = best_stretch(equal[a:b])
+        if j > i:
+            parts += [(a, a + i), (a + j, b)]
+            if j - i >= least:
+                found.append((a + i, a + j))
+    return sorted(found)
+
+
+def verified(doc: np.ndarray, item: np.ndarray, shift: int, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
+    """(doc start, item start, words, equal words) of each overlap on this alignment."""
     a, b = max(0, -shift), min(len(item), len(doc) - shift)
     equal = doc[a + shift : b + shift] == item[a:b]
-    i, j = best_stretch(equal)
-    if j - i < min(min_words, len(item)) or j == i:
-        return None
-    return a + shift + i, a + i, j - i, int(equal[i:j].sum())
+    least = max(1, min(min_words, len(item)))
+    return [(a + shift + i, a + i, j - i, int(equal[i:j].sum())) for i, j in stretches(equal, least)]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
@@ -152,7 +165,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """A row for each verified overlap of a document and an item (the longest of a pair's alignment)."""
+    """A row for each verified overlap of a document and an item; a pair may have several, on one alignment too."""
     spark = docs.sparkSession
     # Ids travel as text: pandas would turn long numbers beside nulls into floats.
     slim = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("t"))
@@ -169,8 +182,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item
                 words = np.concatenate(docs_words) if docs_words else np.zeros(0, np.uint64)
                 ids, rows = batch["doc_id"].tolist(), []
                 for k, i, shift in sorted(block.alignments(words, ends)) if len(words) else ():
-                    if got := verified(docs_words[k], block.words[i], shift):
-                        rows.append((ids[k], block.ids[i], *got))
+                    rows += [(ids[k], block.ids[i], *got) for got in verified(docs_words[k], block.words[i], shift)]
                 yield pd.DataFrame(rows, columns=names)
 
         found = slim.mapInPandas(scan, OVERLAP_COLUMNS.replace("_id long", "_id string"))
@@ -197,7 +209,7 @@ def _hit(shipped):
             ends = np.cumsum([len(w) for w in docs_words])
             words, flag = np.concatenate([np.zeros(0, np.uint64), *docs_words]), np.zeros(len(texts), bool)
             for k, i, shift in block.alignments(words, ends) if len(words) else ():
-                flag[k] = flag[k] or verified(docs_words[k], block.words[i], shift) is not None
+                flag[k] = flag[k] or bool(verified(docs_words[k], block.words[i], shift))
             yield pd.Series(flag)
 
     return hit

@@ -211,6 +211,36 @@ def test_best_stretch():
         assert score[i:j].sum() == best
 
 
+def test_all_stretches_of_an_alignment(spark):
+    """A better stretch that is too short hides none behind it, and two overlaps of an alignment are two rows."""
+    item = [f"q{i}" for i in range(60)]
+    changed = lambda at: [f"z{i}" if i in at else w for i, w in enumerate(item)]
+    docs = {
+        1: changed({*range(12, 20), 27, *range(35, 60)}),  # 12 equal words, then 15 with one changed
+        2: changed(set(range(20, 30))),  # 20 equal, 10 changed, 30 equal
+        3: changed({*range(12, 24), *range(36, 60)}),  # two runs of 12
+    }
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    df = frame(spark, {k: " ".join(v) for k, v in docs.items()})
+    got = {(x.doc_id, x.item_start, x.n_words, x.n_equal) for x in decontaminate.overlaps(df, benchmark).collect()}
+    assert got == {(1, 20, 15, 14), (2, 0, 20, 20), (2, 30, 30, 30)}
+    assert [x.doc_id for x in decontaminate.clean(df, benchmark).collect()] == [3]
+
+
+@pytest.mark.parametrize(("words", "part", "least"), [(20, 0.05, 0.9), (40, 0.05, 0.97), (40, 0.1, 0.93)])
+def test_tolerated_substitutions(words, part, least):
+    """The part of items found with so many of their words replaced at random."""
+    r = np.random.default_rng(4)
+    items = [[f"q{i}x{k}" for k in range(words)] for i in range(400)]
+    block, hashed = decontaminate.Block([(str(i), " ".join(x)) for i, x in enumerate(items)]), decontaminate.Words()
+    found = 0
+    for i, x in enumerate(items):
+        doc = hashed.of(" ".join(w if r.random() >= part else f"s{r.integers(1 << 40)}" for w in x))
+        hits = block.alignments(doc, np.array([len(doc)]))
+        found += any(k == i and decontaminate.verified(doc, block.words[k], shift) for _, k, shift in hits)
+    assert found >= least * len(items), found / len(items)
+
+
 def test_pipeline(spark, sf, texts):
     """Each stage's rows from plain Python, from the stage before as Python made it."""
     got = corpus_pipeline.run(spark, sf).collect()
