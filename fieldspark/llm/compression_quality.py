@@ -1,7 +1,8 @@
 """Quality classifier by compression: which of two zstandard dictionaries, of good or of bad text, packs a text tighter.
 
 A text is compressed in pieces of PIECE bytes with either dictionary; (bad size - good size) / bytes is mapped to
-a score by a logistic curve fitted on labelled texts that no dictionary was built from.
+a score by a logistic curve fitted on labelled texts that no dictionary was built from, and moved to the share of good
+texts among all labelled ones, so that a score is the odds of label 1 there.
 
 Edge cases: null and empty texts compress to nothing, their difference is 0 and the score is the curve's value
 there; ties and repeated rows are scored one by one; with fewer than MIN_FIT texts of a class every score is 0.5;
@@ -76,8 +77,10 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"".join(samples)[-DICTIONARY_BYTES:] or b"\0" * 8
 
 
-def fit(rows: list[tuple[str, int]]) -> Model | None:
-    """Dictionaries from two thirds of the rows, the curve from the others."""
+def fit(rows: list[tuple[str, int]], prior: float = 0.5) -> Model | None:
+    """Dictionaries from two thirds of the rows, the curve from the others.
+
+    prior: the share of good documents among those to be scored."""
     if min(sum(y == k for _, y in rows) for k in (0, 1)) < MIN_FIT:
         return None
     build = [r for i, r in enumerate(rows) if i % 3]
@@ -85,7 +88,9 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     good, bad = (_dictionary([t for t, y in build if y == k]) for k in (1, 0))
     sizer = Sizer(Model(good, bad, ()))
     x = np.array([[sizer.difference(t)] for t, _ in tune])
-    return Model(good, bad, tuple(labelled.logistic(x * 10, np.array([y for _, y in tune]))))
+    a, b = labelled.logistic(x * 10, np.array([y for _, y in tune]))
+    prior = min(max(prior, 1e-3), 1 - 1e-3)
+    return Model(good, bad, (a, b + np.log(prior / (1 - prior))))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, text: str = "text") -> DataFrame:

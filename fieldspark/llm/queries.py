@@ -18,8 +18,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(labelled.remainder(F.col("doc_id"), 5) == 0, F.lit(True))
-    rows = labelled.sample(docs, table(spark, sf_dir, "labels"), "quality", ~held_out, compression_quality.PER_CLASS)
-    model = compression_quality.fit(rows)
+    labels = table(spark, sf_dir, "labels")
+    rows = labelled.sample(docs, labels, "quality", ~held_out, compression_quality.PER_CLASS)
+    model = compression_quality.fit(rows, labelled.share(labels, "quality", ~held_out))
     return compression_quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
