@@ -2,7 +2,9 @@
 
 The canonical form is lower-case, without copyright lines and punctuation, with one spelling of words that licences
 spell in several ways.  A document is looked up whole, by its paragraphs and by its lines; a known licence of
-several paragraphs is known by each of them too, so that it is found inside a longer text.
+several paragraphs is known by each of them too, so that it is found inside a longer text.  Marks of comments before a
+line are no part of it: copyright lines are known behind them, and lines of nothing else part paragraphs.  Spellings of two
+words ("version 2", "per cent") are known within a line only.
 
 Edge cases: null and empty texts, and texts of which only copyright lines are left, have no digest and match nothing;
 repeated rows match one by one; equal known texts under two names give a row for each name; an empty table on either
@@ -27,11 +29,16 @@ SPELLINGS = (
     ("authori[sz]", "authoriz"),
     ("organi[sz]ation", "organization"),
     ("per cent", "percent"),
-    ("copyright holder", "copyright owner"),
+    (r"\bholder", "owner"),
     ("https:", "http:"),
-    ("version ", "v"),
+    (r"\bversion ", "v"),
+)
+#: What comments put before a line; a line of nothing else is blank.
+MARKS = r"[ \t#*/;%!<>-]*"
+#: A wrapped sentence may begin a line with "copyright holders" or "copyright notice".
+COPYRIGHT_LINE = (
+    rf"(?m)^{MARKS}(copyright[ \t]*(\(c\)|©|:|[0-9]|by[ \t]|the[ \t])|\(c\)|©|all rights reserved)[^\n]*$"
 )
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated \
@@ -72,6 +79,29 @@ later version.
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied \
 warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
 
+_BSD_BEGIN = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the \
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following \
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following \
+disclaimer in the documentation and/or other materials provided with the distribution."""
+
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote \
+products derived from this software without specific prior written permission."""
+
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, \
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE \
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, \
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; \
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN \
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS \
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+_MPL2_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not \
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
 #: Public licence texts and notices.  `scan` takes any other table of the kind.
 KNOWN = (
     ("MIT", _MIT),
@@ -96,6 +126,12 @@ KNOWN = (
     ("CC-BY-4.0", "This work is licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("BSD-2-Clause", f"{_BSD_BEGIN}\n\n{_BSD_END}"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", f"{_BSD_BEGIN}\n\n{_BSD_THIRD}\n\n{_BSD_END}"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", _MPL2_NOTICE),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
 
 
@@ -109,7 +145,7 @@ def _line(line: Column) -> Column:
     any_spelling = F.lit("|".join(pattern for pattern, _ in SPELLINGS))
     spelled = let(plain, lambda c: F.when(F.rlike(c, any_spelling), _respelled(c)).otherwise(c))
     bare = F.trim(F.regexp_replace(spelled, PUNCTUATION, " "))
-    return let(bare, lambda c: F.when(c != "", c).when(F.rlike(line, F.lit(r"^[ \t]*$")), "").otherwise(_NOTHING))
+    return let(bare, lambda c: F.when(c != "", c).when(F.rlike(line, F.lit(f"^{MARKS}$")), "").otherwise(_NOTHING))
 
 
 def _respelled(c: Column) -> Column:
@@ -172,7 +208,7 @@ def oracle() -> str:
     rows = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in KNOWN)
 
     def cut(key, source, kinds):
-        split = {"paragraph": r"regexp_split_to_array(t, '\n[ \t]*\n')", "line": "string_split(t, chr(10))"}
+        split = {"paragraph": rf"regexp_split_to_array(t, '\n{MARKS}\n')", "line": "string_split(t, chr(10))"}
         every = [f"SELECT {key}, 'text' AS unit, 0 AS place, t AS part FROM {source}"] + [
             f"SELECT {key}, '{k}' AS unit, unnest(range(len({split[k]}))) AS place, unnest({split[k]}) AS part FROM {source}"
             for k in kinds

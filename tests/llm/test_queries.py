@@ -1,5 +1,7 @@
 """Queries that SQL can express give the SQL's rows."""
 
+import textwrap
+
 import duckdb
 import pytest
 
@@ -59,6 +61,24 @@ def test_texts_are_cut_into_words_once(spark, sf):
         assert plan.count("regexp_extract_all") == 1, plan.count("regexp_extract_all")
 
 
+@pytest.mark.parametrize("mark", ["# ", "// ", " * ", "", ";; "])
+def test_licenses_in_comments(spark, mark):
+    """Whole texts wrapped into comments of 70 characters a line, behind a copyright line."""
+    texts = {"MIT": license_scan._MIT, "Apache-2.0": license_scan._APACHE_NOTICE, "MPL-2.0": license_scan._MPL2_NOTICE,
+             "BSD-3-Clause": dict(license_scan.KNOWN[-4:-3])["BSD-3-Clause"]}
+    docs = []
+    for i, t in enumerate(texts.values()):
+        lines = ["Copyright 2020 Some One", ""]
+        for paragraph in t.split("\n\n"):
+            lines += [*textwrap.wrap(paragraph, 70), ""]
+        docs.append((i, "\n".join((mark + x).rstrip() for x in lines)))
+    docs.append((9, "A conversion 2 of it.\nconv2"))
+    found = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), license_scan.known(spark)).collect()
+    assert {(r.doc_id, r.license_id) for r in found if r.unit == "text"} == set(enumerate(texts))
+    assert sum(r.unit == "paragraph" and r.license_id == "BSD-3-Clause" for r in found) == 5
+    assert not any(r.doc_id == 9 for r in found)
+
+
 def test_licenses(spark, awkward, empty):
     mit = license_scan._MIT
     docs = [
