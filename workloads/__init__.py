@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("tables_q", "tracks_q", "raster_q", "geometry_q", "photos_q", "report_q", "logs_q", "files_q", "scenes_q", "helpers_q")
+_MODULES = ("tables_q", "tracks_q", "raster_q", "geometry_q", "photos_q", "report_q", "logs_q", "files_q", "scenes_q", "helpers_q", "outlines_q")
 
 
 def load() -> tuple[dict, dict]:
