@@ -150,6 +150,24 @@ def test_one_bucket(spark, monkeypatch):
     assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
 
 
+def test_lines_around_the_limit(spark):
+    """Variants of one line: pairs a little over and under the limit, and twins that are like their line only."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base, lines = [word() for _ in range(30)], []
+    for i in range(500):
+        own = list(base)
+        for k in r.sample(range(30), 3):
+            own[k] = word()
+        lines.append(" ".join(own))
+        if i % 5 == 0:
+            own[r.randrange(30)] = word()
+            lines.append(" ".join(own))
+    docs = {i: x for i, x in enumerate(lines)}
+    got = line_dedup.line_table(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
+
+
 def test_line_edges(spark, awkward, empty):
     got = defaultdict(list)
     for r in line_dedup.line_table(awkward).collect():
