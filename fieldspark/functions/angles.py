@@ -1,12 +1,20 @@
 """Angle helpers as Spark columns. Azimuths are degrees, north 0, east 90.
 
 The aggregate functions take ``over`` (a window) to run as window functions.
+
+Opposite directions cancel to a sum of which only the last bits stay, and those decide where it points.  ``azimuth``,
+``sine`` and ``cosine`` therefore take their values from the C library, as SQL engines do: the JVM's own differ from it
+in the last bit.
 """
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def angular_diff(a: Column, b: Column) -> Column:
@@ -27,8 +35,33 @@ def bearing_180(azimuth: Column) -> Column:
     return F.when(az > 180.0, az - 180.0).otherwise(az)
 
 
+@F.arrow_udf(DoubleType())
+def _atan2(a: pa.Array, b: pa.Array) -> pa.Array:
+    pairs = zip(a.to_pylist(), b.to_pylist(), strict=True)
+    return pa.array([None if x is None or y is None else math.atan2(x, y) for x, y in pairs], pa.float64())
+
+
+@F.arrow_udf(DoubleType())
+def _sin(a: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else math.sin(x) if math.isfinite(x) else math.nan for x in a.to_pylist()], pa.float64())
+
+
+@F.arrow_udf(DoubleType())
+def _cos(a: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else math.cos(x) if math.isfinite(x) else math.nan for x in a.to_pylist()], pa.float64())
+
+
+def sine(azimuth: Column) -> Column:
+    return _sin(F.radians(azimuth))
+
+
+def cosine(azimuth: Column) -> Column:
+    return _cos(F.radians(azimuth))
+
+
 def azimuth(dx: Column, dy: Column) -> Column:
-    return F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(360.0))
+    # Always over 360 and back, so that the last bit does not depend on the sign.
+    return (F.degrees(_atan2(dx.cast("double"), dy.cast("double"))) % 360.0 + 360.0) % 360.0
 
 
 def from_sums(s: Column, c: Column) -> Column:
@@ -87,10 +120,3 @@ def circular_var(col: Column, over: WindowSpec | None = None) -> Column:
 
 def axial_var(col: Column, over: WindowSpec | None = None) -> Column:
     return _variance(col, 2.0, over)
-
-
-def circular_mean_of(*cols: Column) -> Column:
-    """Mean direction of the non-null columns of one row, null when all are null."""
-    s = sum((F.coalesce(F.sin(F.radians(c)), F.lit(0.0)) for c in cols), F.lit(0.0))
-    k = sum((F.coalesce(F.cos(F.radians(c)), F.lit(0.0)) for c in cols), F.lit(0.0))
-    return F.when(F.coalesce(*cols).isNotNull(), from_sums(s, k))

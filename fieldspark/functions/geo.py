@@ -47,7 +47,8 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def planar_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.hypot(x2 - x1, y2 - y1)
+    dx, dy = x2 - x1, y2 - y1
+    return F.sqrt(dx * dx + dy * dy)
 
 
 def geodesic_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

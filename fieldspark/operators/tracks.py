@@ -87,15 +87,19 @@ def segment_metrics(
     return seq.result().drop(*_SORT)
 
 
-def _instant(d: DataFrame, w) -> DataFrame:
-    d = d.withColumn("azimuth_next", F.lead("azimuth_prev").over(w))
+def _instant(d: DataFrame, w, keep: bool = False) -> DataFrame:
+    """``keep`` leaves ``_sin`` and ``_cos`` of the azimuth from the previous point."""
     prev, nxt = F.col("azimuth_prev"), F.col("azimuth_next")
+    d = d.withColumns({"_sin": angles.sine(prev), "_cos": angles.cosine(prev)})
+    d = d.withColumns({n: F.lead(c).over(w) for n, c in (("azimuth_next", prev), ("_sinn", "_sin"), ("_cosn", "_cos"))})
     d = d.withColumn(
         "azimuth_instant",
         F.when(prev.isNull() | nxt.isNull(), F.coalesce(prev, nxt, F.lit(0.0))).otherwise(
-            angles.circular_mean_of(prev, nxt)
+            angles.from_sums(F.col("_sin") + F.col("_sinn"), F.col("_cos") + F.col("_cosn"))
         ),
-    )
+    ).drop("_sinn", "_cosn")
+    if not keep:
+        d = d.drop("_sin", "_cos")
     az = F.col("azimuth_instant")
     zero = F.lit(0.0)
     return d.withColumns(
@@ -148,11 +152,9 @@ def segment_strips(
     seq = track(df, group, id_col, ts, fid, cut)
 
     def breaks(d: DataFrame, w) -> DataFrame:
-        d = _instant(_arrivals(d, w, x, y, geographic), w)
+        d = _instant(_arrivals(d, w, x, y, geographic), w, keep=True)
         d = d.withColumns(
             {
-                "_sin": F.sin(F.radians("azimuth_prev")),
-                "_cos": F.cos(F.radians("azimuth_prev")),
                 "_first": F.row_number().over(w) == 1,
                 "_last": F.lead(fid).over(w).isNull(),
             }
@@ -186,7 +188,8 @@ def segment_strips(
         .when(F.col("_break"), "break_direction")
         .when(~valid, "outlier")
         .when(
-            (F.lit(max_distance) > 0) & (F.col("delta_distance") > max_distance * 0.7), "gap_suspect"
+            # As whole numbers: 0.7 itself is no binary fraction.
+            (F.lit(max_distance) > 0) & (F.col("delta_distance") * 10 > max_distance * 7), "gap_suspect"
         )
         .when(variation < 5, "straight")
         .when(variation < 15, "smooth_turn")
