@@ -1,11 +1,14 @@
 """Spatial joins as equi joins on the cells of a hierarchical grid, with an exact test afterwards.
 
 A box belongs to the level whose cells are just as wide as the box or wider, so it touches four of them at most.  Two
-boxes meet on the level of the larger one: the larger is listed in its own cells, the smaller in the cells it touches on
-every level the other side has from its own upwards.  A country among fields therefore costs four cells and not one for
-each field-sized cell of its area.  A pair found in several cells is kept only in the one that holds the lower-left
+boxes meet one level below that of the larger one, where the larger touches 25 cells at most: its own cells would hold
+many rows beside it.  The larger is listed in those cells, the smaller in the cells it touches on every such level the
+other side has from its own upwards.  A country among fields therefore costs 25 cells at most and not one for each
+field-sized cell of its area.  A pair found in several cells is kept only in the one that holds the lower-left
 corner of the common box, so no de-duplication is needed.  The levels a side has are one row that travels as a broadcast;
 no job runs while a plan is built, and cells that hold far more rows than others are split by adaptive execution.
+
+A point or an upright rectangle is its own box, so pairs of these need no test after the join; all other pairs do.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geo
 from fieldspark.plans.keyjoin import join_on
+from fieldspark.plans.ordered import Sequence
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
 # Cells of one level are so many times as wide as those of the level below; the lowest level's are about 1e-6 wide.
@@ -59,21 +63,30 @@ def _cells(df: DataFrame, name: str, levels: Column) -> DataFrame:
     return df.withColumn("_cell", F.explode(F.flatten(F.transform(levels, on))))
 
 
-def _meet(larger: DataFrame, smaller: DataFrame, equal: bool, names: tuple[str, str]) -> DataFrame:
-    """Pairs whose first box is on a higher level, or on the same one if `equal`."""
+def _meet(larger: DataFrame, smaller: DataFrame, equal: bool, names: tuple[str, str], points: bool = False) -> DataFrame:
+    """Pairs whose first box is on a higher level, or on the same one if `equal`; ``points`` says the second ones are points."""
     own_level, level = f"_{names[0]}_own", F.col(f"_{names[1]}_own")
-    own = _cells(larger, names[0], F.array(own_level))
+    own = _cells(larger, names[0], F.array(F.col(own_level) - 1)).drop(own_level)
     # One row: the levels of the larger side.
     levels = larger.agg(F.sort_array(F.collect_set(own_level)).alias("_levels"))
     from_own = F.filter("_levels", lambda v: (v >= level) if equal else (v > level))
-    up = _cells(smaller.crossJoin(F.broadcast(levels)), names[1], from_own).drop("_levels")
-    pairs = own.join(up, "_cell")
-    cell = F.col("_cell")
-    size = F.pow(F.lit(_STEP), cell["level"])
+    below = F.transform(from_own, lambda v: v - 1)
+    up = _cells(smaller.crossJoin(F.broadcast(levels)), names[1], below).drop("_levels", f"_{names[1]}_own")
+    # Plain keys sort faster than a struct.
+    keys = {"_cx": F.col("_cell.x"), "_cy": F.col("_cell.y"), "_cl": F.col("_cell.level")}
+    own = own.withColumns(keys).drop("_cell")
+    if not points:
+        # The cell's corners; exact, as sizes are powers of two.  A point is in one cell of a level anyway.
+        size = F.pow(F.lit(_STEP), F.col("_cl"))
+        corners = {f"_{c}{i}": (F.col(f"_c{c}") + i) * size for c in "xy" for i in (0, 1)}
+        own = own.withColumns(corners)
+    # Never a broadcast: a table of few files has few tasks, and they would make all the pairs.
+    pairs = own.hint("merge").join(up.withColumns(keys).drop("_cell"), list(keys))
     x, y = F.greatest("_a_xmin", "_b_xmin"), F.greatest("_a_ymin", "_b_ymin")
     common = (x <= F.least("_a_xmax", "_b_xmax")) & (y <= F.least("_a_ymax", "_b_ymax"))
-    home = (F.floor(x / size) == cell["x"]) & (F.floor(y / size) == cell["y"])
-    return pairs.filter(common & home)
+    if points:
+        return pairs.filter(common)
+    return pairs.filter(common & (x >= F.col("_x0")) & (x < F.col("_x1")) & (y >= F.col("_y0")) & (y < F.col("_y1")))
 
 
 def box_join(a: DataFrame, b: DataFrame, self_join: str | None = None, points: str | None = None) -> DataFrame:
@@ -84,9 +97,9 @@ def box_join(a: DataFrame, b: DataFrame, self_join: str | None = None, points: s
     """
     left, right = _leveled(a, "a"), _leveled(b, "b")
     if points == "b":
-        pairs = _meet(left, right, True, ("a", "b"))
+        pairs = _meet(left, right, True, ("a", "b"), True)
     else:
-        pairs = _meet(right, left, True, ("b", "a"))
+        pairs = _meet(right, left, True, ("b", "a"), points == "a")
         if points != "a":
             pairs = pairs.unionByName(_meet(left, right, False, ("a", "b")))
     rows = [F.struct(*[F.col(f"_{n}_{i}").alias(c) for i, c in enumerate(df.columns)]).alias(n) for n, df in (("a", a), ("b", b))]
@@ -162,6 +175,21 @@ def intersects(a: Column, kind_a: str, b: Column, kind_b: str) -> Column:
     return cross | inside
 
 
+def _is_box(geom: Column, kind: str) -> Column:
+    """Whether a geometry is the whole of its bounding box: a point, or one upright rectangle as the only ring."""
+    if kind != "polygon":
+        return F.lit(kind == "point")
+    ring = F.element_at(geom, 1)
+    p = [F.get(ring, F.lit(i)) for i in range(4)]
+    turns = lambda u, v: (
+        (p[0][u] == p[1][u]) & (p[1][v] == p[2][v]) & (p[2][u] == p[3][u]) & (p[3][v] == p[0][v])
+    )
+    # An open ring of four corners, or a closed one of five.
+    corners = (F.size(ring) == 4) | ((F.size(ring) == 5) & (F.get(ring, F.lit(4)) == p[0]))
+    upright = turns("x", "y") | turns("y", "x")
+    return F.coalesce((F.size(geom) == 1) & corners & upright, F.lit(False))
+
+
 def spatial_join(
     a: DataFrame,
     b: DataFrame,
@@ -169,13 +197,31 @@ def spatial_join(
     kind_b: str = "polygon",
     geom_a: str = "geom",
     geom_b: str = "geom",
+    self_join: str | None = None,
 ) -> DataFrame:
-    """Pairs of features that intersect, as structs ``a`` and ``b``."""
+    """Pairs of features that intersect, as structs ``a`` and ``b``.
+
+    ``self_join`` names an id: each unordered pair is then returned once.
+    """
     points = "a" if kind_a == "point" else "b" if kind_b == "point" else None
-    pairs = box_join(with_box(a, geom_a, kind_a), with_box(b, geom_b, kind_b), points=points)
-    return pairs.filter(
-        intersects(F.col(f"a.{geom_a}"), kind_a, F.col(f"b.{geom_b}"), kind_b)
-    )
+    left, right = with_box(a, geom_a, kind_a), with_box(b, geom_b, kind_b)
+    box_a, box_b = _is_box(F.col(geom_a), kind_a), _is_box(F.col(geom_b), kind_b)
+    exact = intersects(F.col(f"a.{geom_a}"), kind_a, F.col(f"b.{geom_b}"), kind_b)
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        return box_join(x, y, self_join=self_join, points=points)
+
+    # Apart, as the exact test would make the join of plain boxes slow.
+    sides = [(left, right, False)]
+    if "line" not in (kind_a, kind_b):
+        sides = [(left.filter(box_a), right.filter(box_b), True), (left, right.filter(~box_b), False)]
+        if kind_a != "point":
+            sides.append((left.filter(~box_a), right.filter(box_b), False))
+    out = None
+    for x, y, whole in sides:
+        found = pairs(x, y) if whole else pairs(x, y).filter(exact)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def extract_by_location(
@@ -187,9 +233,24 @@ def extract_by_location(
     geom_a: str = "geom",
     geom_b: str = "geom",
 ) -> DataFrame:
-    """Features of A that intersect any feature of B."""
-    hits = spatial_join(a, b, kind_a, kind_b, geom_a, geom_b)
-    return a.join(hits.select(F.col(f"a.{key}").alias(key)).distinct(), key, "left_semi")
+    """Features of A that intersect any feature of B.
+
+    Points of B are thinned to one in each sixteenth of a cell first; only features that none of these hits meet them all.
+    """
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        return spatial_join(x, y, kind_a, kind_b, geom_a, geom_b).select(F.col(f"a.{key}").alias(key)).distinct()
+
+    if kind_b != "point" or kind_a == "point":
+        return a.join(met(a, b), key, "left_semi")
+    levels = _leveled(with_box(a, geom_a, kind_a), "a").agg(F.collect_set("_a_own").alias("_levels"))
+    size = F.pow(F.lit(_STEP), F.col("_level") - 2)
+    g = F.col(geom_b)
+    tiled = b.select(geom_b).crossJoin(F.broadcast(levels)).withColumn("_level", F.explode("_levels"))
+    few = tiled.groupBy("_level", F.floor(g.x / size).alias("_cx"), F.floor(g.y / size).alias("_cy")).agg(F.min(geom_b).alias(geom_b))
+    hit = a.join(met(a, few.select(geom_b).distinct()), key, "left_semi")
+    rest = a.join(hit.select(key).distinct(), key, "left_anti")
+    return hit.unionByName(rest.join(met(rest, b), key, "left_semi"))
 
 
 # Administrative levels of the looked-up place names.
@@ -200,9 +261,16 @@ def reverse_geocode(
     points: DataFrame, admin: DataFrame, key: str = "fid", geom: str = "geom", rings: str = "rings"
 ) -> DataFrame:
     """Names of the administrative areas that contain each point; null where none does."""
-    hits = spatial_join(points, admin, "point", "polygon", geom, rings)
-    level, name = F.col("b.admin_level"), F.col("b.name")
+    # The largest name is found by its place among all names: long sums up in a hash table, text must be sorted.
+    known = admin.filter(F.col("name").isNotNull()).select("name").distinct()
+    known = Sequence(known, [], ["name"]).number("_place").result().select("name", "_place")
+    placed = admin.join(known, "name").select("admin_level", "_place", rings)
+    hits = spatial_join(points, placed, "point", "polygon", geom, rings)
+    level, place = F.col("b.admin_level"), F.col("b._place")
     names = hits.groupBy(F.col(f"a.{key}").alias(key)).agg(
-        *[F.max(F.when(level == v, name)).alias(n) for n, v in ADMIN_LEVELS.items()]
+        *[F.max(F.when(level == v, place)).alias(f"_{n}") for n, v in ADMIN_LEVELS.items()]
     )
+    for n in ADMIN_LEVELS:
+        of = known.select(F.col("name").alias(n), F.col("_place").alias(f"_{n}"))
+        names = names.join(of, f"_{n}", "left").drop(f"_{n}")
     return join_on(points, names, [key], "left")

@@ -170,3 +170,24 @@ def test_points_to_rasters(spark, layers):
         for g, x0, y0, dx, dy, nc, nr, *_ in GRIDS:
             c, row = math.floor((r.x - x0) / dx), math.floor((y0 - r.y) / dy)
             assert r[f"r{g}"] == (row * 100 + c if 0 <= c < nc and 0 <= row < nr else None)
+
+
+def test_boxes_need_no_exact_test(spark):
+    """Points and upright rectangles meet as boxes, whatever is slow stays off their join; other rings are still tested."""
+    rnd = random.Random(8)
+    square = lambda x, y, w, h: [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)]]
+    shapes = [(i, square(rnd.uniform(0, 50), rnd.uniform(0, 50), rnd.choice([0.5, 4.0, 30.0]), rnd.choice([0.5, 6.0]))) for i in range(60)]
+    shapes += [(60, [[(1.0, 1.0), (40.0, 1.0), (1.0, 40.0)]]), (61, [[(0.0, 0.0), (9.0, 9.0), (9.0, 0.0), (0.0, 9.0)]])]
+    shapes += [(62, [*square(0.0, 0.0, 50.0, 50.0), *square(5.0, 5.0, 30.0, 30.0)]), (63, [square(7.0, 7.0, 5.0, 5.0)[0] + [(7.0, 7.0)]])]
+    areas = spark.createDataFrame(shapes, "fid long, geom array<array<struct<x:double,y:double>>>")
+    upright = {r.fid for r in areas.filter(spatial._is_box(F.col("geom"), "polygon")).collect()}
+    assert upright == {*range(60), 63}
+    dots = spark.createDataFrame([(i, (rnd.uniform(0, 60), rnd.uniform(0, 60))) for i in range(400)], "fid long, geom struct<x:double,y:double>")
+    cross = lambda a, b: a.select(F.struct("*").alias("a")).crossJoin(b.select(F.struct("*").alias("b")))
+    exact = lambda ka, kb: spatial.intersects(F.col("a.geom"), ka, F.col("b.geom"), kb)
+    want = pairs_of(cross(dots, areas).filter(exact("point", "polygon")))
+    assert pairs_of(spatial.spatial_join(dots, areas)) == want
+    assert pairs_of(spatial.spatial_join(areas, areas, "polygon", "polygon", self_join="fid")) == pairs_of(
+        cross(areas, areas).filter(exact("polygon", "polygon")).filter("a.fid < b.fid"))
+    found = {r.fid for r in spatial.extract_by_location(areas, dots, "fid").collect()}
+    assert found == {b for _, b in want}

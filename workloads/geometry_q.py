@@ -134,7 +134,7 @@ def spatial_join_sizes(spark, sf):
     whole = F.array(corner(-1e3, -1e3), corner(1e3, -1e3), corner(1e3, 1e3), corner(-1e3, 1e3))
     country = b.agg((-F.max("fid")).alias("fid")).withColumn("geom", F.array(whole))
     areas = b.select("fid", F.array(ring).alias("geom")).unionByName(country)
-    d = spatial.spatial_join(areas, areas, "polygon", "polygon").filter("a.fid < b.fid")
+    d = spatial.spatial_join(areas, areas, "polygon", "polygon", self_join="fid")
     return d.select(F.col("a.fid").alias("a"), F.col("b.fid").alias("b"))
 
 
@@ -150,9 +150,8 @@ def extract_by_location(spark, sf):
 
 
 def box_pairs(spark, sf):
-    b = spatial.with_box(_boxes(spark, sf), "geom")
-    d = spatial.box_join(b, b, self_join="fid")
-    d = d.filter(spatial.intersects(F.col("a.geom"), "polygon", F.col("b.geom"), "polygon"))
+    b = _boxes(spark, sf)
+    d = spatial.spatial_join(b, b, "polygon", "polygon", self_join="fid")
     return d.select(F.col("a.fid").alias("a"), F.col("b.fid").alias("b"))
 
 
