@@ -95,8 +95,15 @@ FLIGHTS_SQL = with_sql(
 )
 
 
+_SEQUENCE = (
+    "filename", "capture_ts", "Lat", "Lon", "Alt", "AbsoluteAltitude", "RelativeAltitude", "GimbalYawDegree", "FlightYawDegree",
+    "i_speed_3d_ms", "i_coverage_width",
+)
+
+
 def sequence_indicators(spark, sf):
-    d = report.sequence_indicators(_scored(spark, sf))
+    # A long sequence is written down once, with all its columns: only those that are read.
+    d = report.sequence_indicators(_scored(spark, sf).select(*_SEQUENCE))
     return d.select(
         "filename", "time_since_previous", F.round("geodesic_distance_previous", 2).alias("geodesic_distance_previous"),
         "trajectory_smoothness", "strip_id", "abrupt_change_flag", "is_valid_sequence_prev", "is_valid_sequence_next",
