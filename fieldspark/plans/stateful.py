@@ -1,6 +1,7 @@
 """Sequential scans with a small carried state, spread over many tasks.
 
-A small group is scanned in one task.  A large one is cut into pieces that are
+Small groups are scanned many at a time, so that what a kernel works out for all
+rows costs one array operation for thousands of groups.  A large group is cut into pieces that are
 scanned at the same time: every piece guesses the state it starts with by
 scanning some rows before it, and afterwards the guess is compared with the
 state the piece before really ended in.  Pieces with a wrong guess are scanned
@@ -9,21 +10,28 @@ again from the right state until all agree, so the result is that of one scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.ordered import HALO, PIECE, Sequence
 from fieldspark.plans.sizing import cut_lineage
 
-# kernel(rows, begin, end, state) -> (result rows for begin..end, end state);
-# rows before ``begin`` and after ``end`` are context, state None starts a group.
-Kernel = Callable[[pd.DataFrame, int, int, str | None], tuple[pd.DataFrame, str]]
-_IN, _OUT = "_state_in", "_state_out"
+# kernel(rows, starts) looks at the rows of several groups, which begin at ``starts``, and gives a scan of one of them:
+# scan(first, last, begin, end, state) -> (results of begin..end as tuples that begin with the row's place, end state).
+# The group's rows are first..last; those before ``begin`` and after ``end`` are context, state None starts a group.
+Scan = Callable[[int, int, int, int, "str | None"], "tuple[list[tuple], str]"]
+Kernel = Callable[[pd.DataFrame, np.ndarray], Scan]
+# Rows that are scanned together at least, if a task has so many.
+_TOGETHER = 50_000
+_IN, _OUT, _AT = "_state_in", "_state_out", "_at"
 
 
 def scan(
@@ -50,23 +58,54 @@ def scan(
         schema = schema.add(f)
     names = [f.name for f in schema.fields]
 
-    def tagged(out: pd.DataFrame, rows: pd.DataFrame, piece: int) -> pd.DataFrame:
-        out = out.copy()
+    if not seq.cut:
+        results = [f.name for f in T._parse_datatype_string(result).fields]
+        arrow = to_arrow_schema(schema)
+
+        def several(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+            frame = rows.drop_columns([c for c in group if c not in order]).to_pandas(integer_object_nulls=True)
+            one, found = kernel(frame, starts), []
+            for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True):
+                found.extend(one(first, last, first, last, None)[0])
+            columns = list(zip(*found, strict=True)) or [()] * (len(results) + 1)
+            made = dict(zip(results, columns[1:], strict=True))
+            keys = rows.select(group).take(pa.array(columns[0], pa.int64()))
+            made |= {g: keys.column(g) for g in group} | {PIECE: np.zeros(len(columns[0]), np.int32)}
+            arrays = [
+                made[f.name].cast(f.type).combine_chunks() if f.name in group else pa.array(made[f.name], f.type, from_pandas=True)
+                for f in arrow
+            ]
+            return pa.RecordBatch.from_arrays(arrays, schema=arrow)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for b in batches:
+                held.append(b)
+                size += b.num_rows
+                if size < _TOGETHER:
+                    continue
+                rows = pa.Table.from_batches(held)
+                starts = np.flatnonzero(rows[_AT].to_numpy() == 1)
+                # The last group may go on in the next batch.
+                ends = int(starts[-1])
+                if ends:
+                    yield several(rows.slice(0, ends), starts[:-1])
+                    held, size = rows.slice(ends).to_batches(), rows.num_rows - ends
+            if size:
+                rows = pa.Table.from_batches(held)
+                yield several(rows, np.flatnonzero(rows[_AT].to_numpy() == 1))
+
+        in_group = Window.partitionBy(*(group or [F.lit(1)])).orderBy(*order)
+        placed = seq.df.withColumn(_AT, F.row_number().over(in_group)).sortWithinPartitions(*group, *order)
+        return placed.mapInArrow(whole, schema)
+
+    def tagged(found: list[tuple], rows: pd.DataFrame, piece: int) -> pd.DataFrame:
+        out = pd.DataFrame([f[1:] for f in found], columns=[n for n in names if n not in group and n != PIECE])
         for g in group:
             out[g] = rows[g].iloc[0]
         out[PIECE] = piece
         return out
 
-    if not seq.cut:
-
-        def whole(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(order, kind="stable", ignore_index=True)
-            out, _ = kernel(rows, 0, len(rows), None)
-            return tagged(out, rows, 0)[names]
-
-        keys = group or [F.lit(1)]
-        return seq.df.groupBy(*keys).applyInPandas(whole, schema)
-
     with_state = schema.add(_IN, T.StringType()).add(_OUT, T.StringType())
     span = reach + warmup
     body = cut_lineage(seq.df.withColumn(HALO, F.lit(False)).unionByName(seq._halo(span)))
@@ -76,6 +115,7 @@ def scan(
         core = (~rows[HALO]).to_numpy().nonzero()[0]
         begin, end, piece = int(core[0]), int(core[-1]) + 1, int(rows[PIECE].iloc[core[0]])
         known = rows["_given"].iloc[begin]
+        one = kernel(rows, np.zeros(1, int))
         if isinstance(known, str):
             state = known
         elif begin == 0:
@@ -84,11 +124,10 @@ def scan(
             # Scan the rows before the piece to guess its state; with the whole
             # start of the group in sight the guess is exact.
             first, cold = (0, None) if begin < span else (reach, "")
-            _, state = kernel(rows, first, begin, cold)
-        out, after = kernel(rows, begin, end, state)
-        out = tagged(out, rows, piece)
-        mark = out.iloc[:1].copy()
-        mark[[c for c in names if c not in group and c != PIECE]] = None
+            _, state = one(0, len(rows), first, begin, cold)
+        found, after = one(0, len(rows), begin, end, state)
+        out = tagged(found, rows, piece)
+        mark = tagged([(0, *[None] * (len(names) - len(group) - 1))], rows, piece)
         mark[_IN], mark[_OUT] = state, after
         out[_IN], out[_OUT] = None, None
         return pd.concat([out, mark], ignore_index=True)[[f.name for f in with_state.fields]]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.operators.strip_scans import StripSettings, segment_strips_full, segment_strips_score
 from fieldspark.operators.tracks import segment_strips
+from fieldspark.plans.stateful import scan
 
 
 def _corner(n=30):
@@ -77,3 +78,24 @@ def test_cut_equals_whole(spark, sf, method):
     finally:
         spark.conf.unset("spark.fieldspark.maxGroupRows")
     assert len({w[1] for w in whole}) > 2
+
+
+def test_small_groups_are_scanned_together(spark):
+    """One look at the rows serves many groups, and every group begins anew."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def kernel(rows, starts):
+        calls.add(1)
+        fids = rows["fid"].tolist()
+
+        def scan_one(first, last, begin, end, state):
+            return [(i, fids[i], i - first) for i in range(begin, end)], ""
+
+        return scan_one
+
+    df = spark.range(4000).select((F.col("id") % 1000).alias("g"), F.col("id").alias("fid")).coalesce(1)
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g") + F.lit(2**60)))
+    rows = scan(df, ["g"], ["fid"], kernel, "fid bigint, at int", reach=1, cut=False).collect()
+    assert len(rows) == 4000
+    assert all(r.at == r.fid // 1000 and r.g == (2**60 + r.fid % 1000 if r.fid % 1000 else None) for r in rows)
+    assert calls.value <= int(spark.conf.get("spark.sql.shuffle.partitions"))
