@@ -33,6 +33,7 @@ from fieldspark.operators.photos import finite_field, flight_id, has, num, raw
 from fieldspark.plans.keyjoin import join_on
 from fieldspark.plans.ordered import Sequence
 from fieldspark.plans.quantiles import order_statistics
+from fieldspark.plans.sizing import cut_lineage
 
 # Fixed values of the report side.
 LIGHT_NAMES = {
@@ -401,26 +402,39 @@ def _mean2(value: Column, digits: int = 2) -> Column:
 def indicator_statistics(scored: DataFrame, rules: dict = THRESHOLDS, cut: bool | None = None) -> DataFrame:
     """Level and value statistics per indicator; a photo without it counts as level 3.
 
-    The long table is aggregated once; percentiles come from counted values.
+    Scoring is costly, so the photos are read once: equal (indicator, value, level) are counted and written down, and
+    all else is worked out from the counts.
     """
     total = scored.agg(F.count(F.lit(1)).alias("_all"))
-    long = scored_long(scored)
-    value = finite_num(F.col("value"))
-    lvl = F.col("level")
-    base = long.withColumn("_x", value).groupBy("indicator").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum(lvl).alias("_s"),
-        F.sum(lvl * lvl).alias("_s2"),
-        *[F.count_if(lvl == k).alias(f"level_{k}") for k in range(1, 6)],
-        F.count("_x").alias("_vn"),
-        r4(F.avg("_x")).alias("value_mean"),
-        F.when(F.count("_x") > 1, r4(F.stddev_samp("_x"))).when(F.count("_x") == 1, 0.0).alias("value_std"),
-        r4(F.min("_x")).alias("value_min"),
-        r4(F.max("_x")).alias("value_max"),
-        r4(F.max("_x") - F.min("_x")).alias("value_range"),
+    long = scored_long(scored).select("indicator", "level", finite_num(F.col("value")).alias("_x"))
+    counted = cut_lineage(long.groupBy("indicator", "level", "_x").agg(F.count(F.lit(1)).alias("_m")))
+    m, lvl, x = F.col("_m"), F.col("level"), F.col("_x")
+    base = counted.groupBy("indicator").agg(
+        F.sum(m).alias("_n"),
+        F.sum(lvl * m).alias("_s"),
+        F.sum(lvl * lvl * m).alias("_s2"),
+        *[F.sum(F.when(lvl == k, m).otherwise(0)).alias(f"level_{k}") for k in range(1, 6)],
+        F.sum(F.when(x.isNotNull(), m).otherwise(0)).alias("_vn"),
+        F.sum(x * m).alias("_vs"),
+        F.min(x).alias("_min"),
+        F.max(x).alias("_max"),
+    ).withColumn("_mean", F.col("_vs") / F.nullif(F.col("_vn"), F.lit(0)))
+    # One row per indicator.
+    away = x - F.col("_mean")
+    spread = join_on(counted, base.select("indicator", "_mean"), ["indicator"], small=True)
+    spread = spread.groupBy("indicator").agg(F.sum(away * away * m).alias("_away"))
+    vn = F.col("_vn")
+    base = join_on(base, spread, ["indicator"]).withColumns(
+        {
+            "value_mean": r4(F.col("_mean")),
+            "value_std": F.when(vn > 1, r4(F.sqrt(F.col("_away") / (vn - 1)))).when(vn == 1, 0.0),
+            "value_min": r4(F.col("_min")),
+            "value_max": r4(F.col("_max")),
+            "value_range": r4(F.col("_max") - F.col("_min")),
+        }
     )
     pct = order_statistics(
-        long.select("indicator", value.alias("_x")), ["indicator"], "_x", {"_p5": 0.05, "_p95": 0.95}, "floor", cut=cut
+        counted, ["indicator"], "_x", {"_p5": 0.05, "_p95": 0.95}, "floor", cut=cut, times="_m"
     )
     d = join_on(base.crossJoin(F.broadcast(total)), pct, ["indicator"], "left")  # total is one row
     missing = F.col("_all") - F.col("_n")

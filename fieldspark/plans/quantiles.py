@@ -23,25 +23,28 @@ def order_statistics(
     mode: str = "linear",
     decimals: int | None = None,
     cut: bool | None = None,
+    times: str | None = None,
 ) -> DataFrame:
     """One row per group with the named quantiles of the non-null values.
 
     ``linear`` interpolates between ranks, ``floor`` takes the value at rank
     ``int(q * (n - 1))``.  Equal values are counted first, so the ordered part
-    works on distinct values.
+    works on distinct values.  ``times`` names a column that says how many rows
+    a row stands for.
     """
-    rows = df.select(*group, F.col(value).cast("double").alias("_q")).filter(F.col("_q").isNotNull())
+    count = F.lit(1) if times is None else F.col(times)
+    rows = df.select(*group, F.col(value).cast("double").alias("_q"), count.alias("_times")).filter(F.col("_q").isNotNull())
     if cut is None:
         cut = not fits_one_task(rows, group)
-    if not cut and mode == "linear":
+    if not cut and mode == "linear" and times is None:
         names = list(quantiles)
         agg = rows.groupBy(*group).agg(
             F.percentile("_q", F.array(*[F.lit(quantiles[n]) for n in names])).alias("_p")
         )
         return agg.select(*group, *[F.col("_p")[i].alias(n) for i, n in enumerate(names)])
-    counts = rows.groupBy(*group, "_q").agg(F.count(F.lit(1)).alias("_m"))
+    counts = rows.groupBy(*group, "_q").agg(F.sum("_times").alias("_m"))
     ranked = Sequence(counts, group, ["_q"], cut=cut).running(_upto=F.col("_m")).result()
-    totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_total"))
+    totals = rows.groupBy(*group).agg(F.sum("_times").alias("_total"))
     ranked = join_on(ranked, totals, group)
 
     def at(rank: Column) -> Column:
