@@ -5,6 +5,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from fieldspark.operators import report
+from workloads import photos_q
 
 
 def test_indicator_statistics_scores_once(spark):
@@ -28,3 +29,9 @@ def test_indicator_statistics_scores_once(spark):
     # A photo without the indicator counts as level 3.
     assert [b[f"level_{k}"] for k in range(1, 6)] == [0, 200, 100, 0, 0] and b.mean == 2.33
     assert b.value_mean is None and b.value_std is None and b.value_p95 is None
+
+
+def test_records_are_dealt_by_their_number(spark, sf, monkeypatch):
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    monkeypatch.setattr(photos_q, "RECORDS_A_TASK", n // 40)
+    assert photos_q.photo_records(spark, sf).rdd.getNumPartitions() >= 40

@@ -13,11 +13,15 @@ from workloads.tables_q import _pmod
 _CODES = list(catalog.LIGHT_SOURCES)
 
 
+#: About 35 MB of scored records.
+RECORDS_A_TASK = 50_000
+
+
 def photo_records(spark, sf):
     """Photos three seconds apart, 20 folders, with gaps, jumps and missing values."""
-    # The events are one small file, so its rows are spread before the wide records are built.
+    # A record is much wider than its event, so the rows are spread before records are built; the count is in the file.
     e = table(spark, sf, "events").select("event_id", "user_id")
-    e = e.repartition(spark.sparkContext.defaultParallelism)
+    e = e.repartition(max(spark.sparkContext.defaultParallelism, -(-e.count() // RECORDS_A_TASK)))
     i = F.col("event_id")
 
     def text(c):
