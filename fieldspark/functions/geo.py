@@ -164,12 +164,21 @@ def multiline_length(parts: Column, ellipsoidal: bool = False) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + line_length(p, ellipsoidal))
 
 
+def _around(ring: Column, measure: Callable[[Column, Column], Column]) -> Column:
+    """Sum of ``measure`` over each vertex and the one after it, the first again after the last."""
+
+    def total(v: Column) -> Column:
+        after = F.concat(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, 1))
+        summed = F.aggregate(F.zip_with(v, after, measure), F.lit(0.0), lambda acc, t: acc + t)
+        return F.when(v.isNull(), 0.0).otherwise(summed)
+
+    return bind(ring, total)
+
+
 def ring_area(ring: Column, ellipsoidal: bool = False) -> Column:
     """Area of one closed or open ring, square layer units or square metres."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
     if not ellipsoidal:
-        twice = _segments(closed, lambda p, q: p.x * q.y - q.x * p.y)
-        return F.abs(twice) / 2.0
+        return F.abs(_around(ring, lambda p, q: p.x * q.y - q.x * p.y)) / 2.0
     radius2 = WGS84_A**2 / 2.0 * (1.0 + (1.0 - _E2) / (2.0 * _E) * math.log((1 + _E) / (1 - _E)))
     q_pole = 1.0 + (1.0 - _E2) / (2.0 * _E) * math.log((1 + _E) / (1 - _E))
 
@@ -180,8 +189,8 @@ def ring_area(ring: Column, ellipsoidal: bool = False) -> Column:
             (1.0 - _E2) * (s / (1.0 - es * es) + F.log((1.0 + es) / (1.0 - es)) / (2.0 * _E)) / q_pole
         )
 
-    strip = _segments(
-        closed,
+    strip = _around(
+        ring,
         lambda p, q: F.radians(q.x - p.x) * (authalic_sine(p.y) + authalic_sine(q.y)) / 2.0,
     )
     return F.abs(strip) * radius2

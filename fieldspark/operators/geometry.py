@@ -52,28 +52,31 @@ def buffer_point(p: Column, distance: Column, segments: int = 5) -> Column:
     return F.array(F.slice(ring, 1, 4 * segments))
 
 
-def buffer_segment(line: Column, distance: Column, segments: int = 5) -> Column:
-    """Capsule around a two-vertex line, round caps."""
-    p, q = F.element_at(line, 1), F.element_at(line, 2)
-    half = math.pi / 2
+def _capsule(p: Column, q: Column, heading: Column, distance: Column, segments: int) -> Column:
+    """Ring around p and q, whose direction is ``heading``; vertices are written out, which Spark compiles."""
 
-    def capsule(heading: Column) -> Column:
-        return F.concat(
-            _arc(q, distance, heading + half, -math.pi, 2 * segments),
-            _arc(p, distance, heading - half, -math.pi, 2 * segments),
-        )
+    def arc(centre: Column, start: Column) -> list[Column]:
+        turns = [F.lit(k * (-math.pi / (2 * segments))) for k in range(2 * segments + 1)]
+        return [geo.point(centre.x + distance * F.cos(start + t), centre.y + distance * F.sin(start + t)) for t in turns]
 
-    ring = geo.bind(F.atan2(q.y - p.y, q.x - p.x), capsule)
-    same = (p.x == q.x) & (p.y == q.y)
-    return F.when(same, buffer_point(p, distance, segments)).otherwise(F.array(ring))
+    half = math.pi / 2
+    return F.array(*arc(q, heading + half), *arc(p, heading - half))
 
 
 def buffer(
     df: DataFrame, distance: float, kind: str = "point", segments: int = 5, geom: str = "geom"
 ) -> DataFrame:
     """Buffer points or two-vertex segments; cut longer lines with ``explode_lines`` first."""
-    f = {"point": buffer_point, "segment": buffer_segment}[kind]
-    return df.withColumn(geom, f(F.col(geom), F.lit(float(distance)), segments))
+    by = F.lit(float(distance))
+    if kind == "point":
+        return df.withColumn(geom, buffer_point(F.col(geom), by, segments))
+    # Capsules with round caps; columns of their own are worked out once a row.
+    d = df.withColumns({"_p": F.element_at(geom, 1), "_q": F.element_at(geom, 2)})
+    p, q = F.col("_p"), F.col("_q")
+    d = d.withColumn("_heading", F.atan2(q.y - p.y, q.x - p.x))
+    ring = F.array(_capsule(p, q, F.col("_heading"), by, segments))
+    same = (p.x == q.x) & (p.y == q.y)
+    return d.withColumn(geom, F.when(same, buffer_point(p, by, segments)).otherwise(ring)).select(*df.columns)
 
 
 def implement_trail(
