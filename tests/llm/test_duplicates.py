@@ -150,6 +150,26 @@ def test_one_bucket(spark, monkeypatch):
     assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
 
 
+def test_unlike_lines_of_a_bucket_are_not_compared(spark, monkeypatch):
+    """Twins of short lines in one bucket: similar pairs are compared, most of the unlike ones are not."""
+    r, compared = random.Random(19), []
+    bands, confirmed = line_dedup._bands, line_dedup._confirmed
+    monkeypatch.setattr(line_dedup, "_bands", lambda lines: bands(lines).withColumn("bands", F.array(F.lit(6).cast("long"))))
+
+    def counted(pairs, lines):
+        compared.append(pairs.count())
+        return confirmed(pairs, lines)
+
+    monkeypatch.setattr(line_dedup, "_confirmed", counted)
+    docs = {}
+    for i in range(60):
+        words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)]
+        docs[2 * i], docs[2 * i + 1] = ",".join(words), ",".join([*words[:-1], words[-1][:-1] + "7"])
+    got = line_dedup.line_table(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
+    assert 59 <= sum(compared) < 300
+
+
 def test_lines_around_the_limit(spark):
     """Variants of one line: pairs a little over and under the limit, and twins that are like their line only."""
     r = random.Random(17)
