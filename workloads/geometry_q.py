@@ -99,8 +99,9 @@ def layer_units(spark, sf):
 def _boxes(spark, sf):
     s = table(spark, sf, "supplier")
     x, y = F.col("s_acctbal") / 100, F.col("s_suppkey") % 40
-    w, h = F.col("s_nationkey") % 5 + 0.5, F.col("s_nationkey") % 7 + 0.5
-    ring = F.array(geo.point(x, y), geo.point(x + w, y), geo.point(x + w, y + h), geo.point(x, y + h))
+    # Added up in the order of the SQL: x + (w + 0.5) may be off by a rounding, and a point on the side is then lost or won.
+    right, top = x + F.col("s_nationkey") % 5 + 0.5, y + F.col("s_nationkey") % 7 + 0.5
+    ring = F.array(geo.point(x, y), geo.point(right, y), geo.point(right, top), geo.point(x, top))
     return s.select(F.col("s_suppkey").alias("fid"), F.array(ring).alias("geom"), F.col("s_nationkey").alias("nk"))
 
 
