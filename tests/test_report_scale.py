@@ -5,7 +5,7 @@ import statistics
 from pyspark.sql import functions as F
 
 from fieldspark.operators import report
-from workloads import photos_q
+from workloads import photos_q, report_q
 
 
 def test_indicator_statistics_scores_once(spark):
@@ -35,3 +35,25 @@ def test_records_are_dealt_by_their_number(spark, sf, monkeypatch):
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     monkeypatch.setattr(photos_q, "RECORDS_A_TASK", n // 40)
     assert photos_q.photo_records(spark, sf).rdd.getNumPartitions() >= 40
+
+
+def test_full_report_has_every_table_with_all_columns(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("map<string,int>")
+    def only_column(i):
+        read.add(1)
+        return {"k": i}
+
+    tables = {
+        "plain": spark.range(5),
+        "costly": spark.range(7).select(only_column(F.col("id").cast("int")).alias("m")),
+        "none": spark.range(0),
+    }
+    monkeypatch.setattr(report_q, "photo_records", lambda s, sf: s.range(0).withColumn("DroneModel", F.lit("x")))
+    monkeypatch.setattr(report_q.photos, "with_numbers", lambda d: d)
+    monkeypatch.setattr(report_q, "report_dataset", lambda d: tables)
+    rows = {r.table: r for r in report_q.full_report(spark, "").collect()}
+    assert {n: r.rows for n, r in rows.items()} == {"plain": 5, "costly": 7, "none": 0}
+    # Counted alone, the column would not have been worked out.
+    assert read.value == 7 and rows["costly"].digest != rows["plain"].digest

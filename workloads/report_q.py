@@ -383,13 +383,19 @@ PQISUM_SQL = f"""SELECT round(avg(l_quantity*2),2) AS pqi_mean, {_PL.format(v='a
  {', '.join(f"count(*) FILTER ({_PL.format(v='l_quantity*2')} = {k}) AS level_{k}" for k in range(1, 6))} FROM lineitem"""
 
 
+def _digest(df):
+    """Rows, and the sum of the hashes of all their columns: no column can be left out of the plan."""
+    kinds = dict(df.dtypes)
+    of = lambda c: F.map_entries(f"`{c}`") if kinds[c].startswith("map<") else F.col(f"`{c}`")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*map(of, df.columns)) % 1_000_000_007).alias("digest"))
+
+
 def full_report(spark, sf):
-    """Row counts of every table of the report dataset."""
+    """Every table of the report dataset, worked out with all its columns: rows and a digest of them."""
     d = photos.with_numbers(photo_records(spark, sf)).withColumn("Model", F.col("DroneModel"))
-    tables = report_dataset(d)
     out = None
-    for name in ("flights", "indicator_statistics", "general_info", "hourly", "alert_summary", "flight_verdict", "recommendations"):
-        one = tables[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+    for name, one in report_dataset(d).items():
+        one = _digest(one).select(F.lit(name).alias("table"), "rows", "digest")
         out = one if out is None else out.unionByName(one)
     return out
 
