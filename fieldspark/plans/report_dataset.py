@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions.rules import ALERTS, THRESHOLDS
 from fieldspark.operators import alerts, report
+from fieldspark.plans.sizing import stored
+
+#: What the values against the photo before are worked out from, and what names the photo.
+SEQUENCE_FIELDS = (
+    "filename", "flight_id", "capture_ts", "Lat", "Lon", "Alt", "AbsoluteAltitude", "RelativeAltitude", "GimbalYawDegree",
+    "FlightYawDegree", "i_speed_3d_ms", "i_coverage_width",
+)
 
 
 def report_dataset(
@@ -16,8 +22,13 @@ def report_dataset(
     alert_rules: dict = ALERTS,
     partition_by: list[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Lazy tables by name.  Only the scored records are cached, on disk when memory is short."""
-    scored = report.score_images(records, thresholds).persist(StorageLevel.MEMORY_AND_DISK)
+    """Tables by name.
+
+    Scored records are wide, so they are written down once and every table reads the columns it needs.  ``sequence`` has a
+    row for each photo with its name, flight, time and values against the photo before; all else of it is in ``scored``.
+    """
+    scored = stored(report.score_images(records, thresholds), "scored-records")
+    steps = scored.select(*[c for c in scored.columns if c in {*SEQUENCE_FIELDS, *(partition_by or [])}])
     flights = report.aggregate_flights(scored)
     metrics = report.advanced_metrics(scored)
     altitude, gsd = report.altitude_class(scored), report.gsd_stability(scored)
@@ -58,7 +69,7 @@ def report_dataset(
     return {
         "scored": scored,
         "scored_long": report.scored_long(scored),
-        "sequence": report.sequence_indicators(scored, partition_by),
+        "sequence": report.sequence_indicators(steps, partition_by),
         "indicator_statistics": report.indicator_statistics(scored, thresholds),
         "pqi_summary": report.pqi_summary(scored, thresholds),
         "flights": flights,

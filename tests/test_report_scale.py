@@ -4,7 +4,8 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from fieldspark.operators import report
+from fieldspark.operators import photos, report
+from fieldspark.plans.report_dataset import report_dataset
 from workloads import photos_q, report_q
 
 
@@ -57,3 +58,15 @@ def test_full_report_has_every_table_with_all_columns(spark, monkeypatch):
     assert {n: r.rows for n, r in rows.items()} == {"plain": 5, "costly": 7, "none": 0}
     # Counted alone, the column would not have been worked out.
     assert read.value == 7 and rows["costly"].digest != rows["plain"].digest
+
+
+def test_scored_records_are_not_kept_in_memory(spark, sf):
+    held = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before = held()
+    d = photos.with_numbers(photos_q.photo_records(spark, sf)).withColumn("Model", F.col("DroneModel"))
+    tables = report_dataset(d)
+    plan = tables["sequence"]._jdf.queryExecution().optimizedPlan().toString()
+    assert held() == before and "InMemoryRelation" not in plan and "parquet" in plan
+    # A long sequence is written down with all its columns, so it has only those that it reads.
+    assert "scored" not in tables["sequence"].columns and "strip_id" in tables["sequence"].columns
+    assert tables["scored"].columns == report.score_images(d).columns
