@@ -1,5 +1,6 @@
 """Near duplicates, lines, components, decontamination and the pipeline against plain Python."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest import AWKWARD
 from fieldspark.llm import decontaminate, line_dedup, near_duplicates, quality_rules, queries
+from fieldspark.llm.common import local_path
 from fieldspark.llm.components import components
 
 
@@ -188,6 +190,47 @@ def test_lines_around_the_limit(spark):
     assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
 
 
+def test_line_tables_and_pairs_are_bounded(spark, monkeypatch):
+    """Many more pairs than lines: they are compared in passes, and tables that nothing reads any more are gone."""
+    r, passes, kept, dropped, written = random.Random(23), [], {}, line_dedup.dropped, line_dedup.written
+    bands = line_dedup._bands
+    monkeypatch.setattr(line_dedup, "_bands", lambda lines: bands(lines).withColumn("bands", F.array(F.lit(6).cast("long"))))
+    monkeypatch.setattr(line_dedup, "MOST_PAIRS", 30)
+
+    def noted(df, name):
+        table = written(df, name)
+        kept[table.written_to] = name
+        passes.append((name, table.count()))
+        return table
+
+    def gone(*tables):
+        dropped(*tables)
+        for t in tables:
+            del kept[t.written_to]
+            assert not os.path.exists(local_path(t.written_to))
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    monkeypatch.setattr(line_dedup, "dropped", gone)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base, docs = [word() for _ in range(12)], {}
+    for i in range(10):
+        own = list(base)
+        own[i] = word()
+        docs[2 * i], docs[2 * i + 1] = " ".join(own), " ".join([*own[:-1], own[-1][:-1] + "7"])
+    got = line_dedup.line_table(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.line_no): (x.first_doc_id, x.first_line_no) for x in got} == brute.first_lines(docs)
+    assert sorted(set(kept.values())) == ["confirmed", "named-lines"]
+    passes.clear()
+    lines = [docs[i] for i in range(15)]
+    pairs = [(a, b) for b in range(15) for a in range(b)]
+    links = line_dedup._confirmed(noted(spark.createDataFrame(pairs, "a long, b long"), "all"), spark.createDataFrame(list(enumerate(lines)), "node long, norm string"))
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    want = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    # 105 pairs of 15 lines, 30 at once.
+    assert {tuple(x) for x in links.collect()} == want and 0 < len(want) < 105
+    assert [name for name, _ in passes].count("confirmed") == 4
+
+
 def test_line_edges(spark, awkward, empty):
     got = defaultdict(list)
     for r in line_dedup.line_table(awkward).collect():
